@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kudoscope.functions.columns import compute_once
 from kudoscope.functions.text import lower_text
 
 # ---------------------------------------------------------------- fixed values
@@ -170,14 +171,14 @@ def with_intelligence(df: DataFrame, text: str = "text", sentiment: Column | Non
                       rating: Column | None = None) -> DataFrame:
     """Add ``primary_aspect, all_aspects, issue, priority, suggested_action`` to a table.
 
-    Narrow: three projections, no shuffle. The scan result is its own projection,
-    so the pattern runs once per row however many rules read it.
+    Narrow, no shuffle. The text is scanned once per row, however many rules and
+    later filters read the result.
     """
     sentiment = F.col("sentiment") if sentiment is None else sentiment
     rating = F.col("rating") if rating is None else rating
     negative, positive = is_negative(sentiment, rating), is_positive(sentiment, rating)
     hits = F.col("_hits")
-    scanned = df.withColumn("_hits", keyword_hits(lower_text(F.col(text))))
+    scanned = compute_once(df, _hits=keyword_hits(lower_text(F.col(text))))
     found = scanned.withColumns({
         "_detected": _detected(hits),
         "_rule_aspect": _first_rule(hits, 0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kudoscope.functions import labels, text as tx
+from kudoscope.functions.columns import compute_once
 from kudoscope.operators.ranking import below_rate, draw_hash
 from kudoscope.schemas import LABELS, REVIEW
 
@@ -48,8 +49,8 @@ def standardise(raw: DataFrame, category: str = CATEGORY, source: str = SOURCE)
         *[c for c in raw.columns if c == "row_order"],
     )
     both = tx.combined_text(F.col("text"), F.col("title"))
-    cleaned = (named.withColumn("_both", both)
-               .withColumn("clean_text", tx.clean_text(F.col("_both"))))
+    cleaned = compute_once(compute_once(named, _both=both),
+                           clean_text=tx.clean_text(F.col("_both")))
     reason = (F.when(F.col("sentiment").isNull(), "invalid_rating")
               .when(F.col("_both") == "", "empty_text")
               .when(F.col("clean_text") == "", "empty_clean_text"))
@@ -120,10 +121,9 @@ def normalise_legacy(df: DataFrame, overwrite_text: bool = True) -> DataFrame:
 
 def preprocess(df: DataFrame, order: str, text_col: str = "text") -> DataFrame:
     """Training preparation: drop blank text and missing label, clean, dedup."""
-    usable = (df.filter(~tx.is_blank(F.col(text_col)) & F.col("sentiment").isNotNull())
-              .withColumn("clean_text", tx.clean_text(F.col(text_col)))
-              .filter(F.col("clean_text") != ""))
-    return dedup_clean_text(usable, order)
+    usable = df.filter(~tx.is_blank(F.col(text_col)) & F.col("sentiment").isNotNull())
+    cleaned = compute_once(usable.drop("clean_text"), clean_text=tx.clean_text(F.col(text_col)))
+    return dedup_clean_text(cleaned.filter(F.col("clean_text") != ""), order)
 
 
 def quality_checks(df: DataFrame, source: str = SOURCE) -> DataFrame:

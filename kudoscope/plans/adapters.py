@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kudoscope.functions import labels, text as tx
 from kudoscope.operators import etl
 from kudoscope.schemas import LABELS
+from kudoscope.sources.readers import spread
 
 # Short English sentences that exercise every aspect, rule and severe term.
 PHRASES = (
@@ -37,8 +38,12 @@ RAW_LABELS = ("Positive", "LABEL_0", "label_1", "LABEL_2", "NEGATIVE", "neutral"
 STATUSES = (200, 403, 404, 429, 500)
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def pick(values: tuple, index: Column) -> Column:

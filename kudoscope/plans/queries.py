@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from kudoscope.functions import labels, rules, text as tx
+from kudoscope.functions.columns import compute_once
 from kudoscope.operators import (analytics, attribution, etl, evaluation, filters, keyphrases,
                                  models, splitting, store, vectorise)
 from kudoscope.plans import adapters as ad, pipelines
@@ -108,6 +109,11 @@ def prediction_log(spark, sf):
     return store.prediction_rows(scored).drop("timestamp")
 
 
+def _coefficients(spark, sf) -> DataFrame:
+    """The stand-in coefficients as the stored table they are in practice."""
+    return materialise(ad.stand_in_coefficients(spark, sf), "coefficients")
+
+
 def _metrics(spark, sf, rows=None) -> DataFrame:
     judged = ad.judged(ad.relational_reviews(spark, sf) if rows is None else rows)
     cells = evaluation.confusion_cells(judged, keys=["model_name"])
@@ -146,8 +152,8 @@ def rating_to_sentiment(spark, sf):
 @query
 def combined_text(spark, sf):
     both = tx.combined_text(F.col("text"), F.col("title"))
-    return (ad.raw_reviews(spark, sf).select("row_order", both.alias("combined"))
-            .filter(F.col("combined") != ""))
+    return (compute_once(ad.raw_reviews(spark, sf), combined=both)
+            .select("row_order", "combined").filter(F.col("combined") != ""))
 
 
 @query
@@ -376,7 +382,7 @@ def model_comparison(spark, sf):
 
 @query
 def dashboard_stats(spark, sf):
-    keywords = models.class_keywords(ad.stand_in_coefficients(spark, sf), 10)
+    keywords = models.class_keywords(_coefficients(spark, sf), 10)
     return store.dashboard_entries(ad.relational_reviews(spark, sf),
                                    ad.stored_tables(spark, sf)[1],
                                    store.read_metrics(_metrics(spark, sf)), keywords)
@@ -390,8 +396,9 @@ def label_domain(spark, sf):
 # ---------------------------------------------------------------- windows
 @query
 def dedup_clean_text(spark, sf):
-    docs = ad.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("row_order"), tx.clean_text(F.col("text")).alias("clean_text"))
+    docs = compute_once(
+        ad.table(spark, sf, "documents").select(F.col("doc_id").alias("row_order"), "text"),
+        clean_text=tx.clean_text(F.col("text"))).drop("text")
     return etl.dedup_clean_text(docs.filter(F.col("clean_text") != ""), "row_order")
 
 
@@ -415,7 +422,7 @@ def stratified_sample(spark, sf):
 
 @query
 def class_keywords(spark, sf):
-    return models.class_keywords(ad.stand_in_coefficients(spark, sf), 10)
+    return models.class_keywords(_coefficients(spark, sf), 10)
 
 
 @query
@@ -645,14 +652,14 @@ def model_routing(spark, sf):
 @query
 def explain_tokens(spark, sf):
     docs = ad.table(spark, sf, "documents").select("doc_id", "text")
-    coefs = ad.stand_in_coefficients(spark, sf)
+    coefs = _coefficients(spark, sf)
     return _pct(attribution.explain_tokens(docs, coefs, "doc_id", known_only=True), "diff")
 
 
 @query
 def explain_top_words(spark, sf):
     docs = ad.table(spark, sf, "documents").select("doc_id", "text")
-    tokens = attribution.explain_tokens(docs, ad.stand_in_coefficients(spark, sf), "doc_id",
+    tokens = attribution.explain_tokens(docs, _coefficients(spark, sf), "doc_id",
                                         known_only=True)
     return _pct(attribution.top_words(tokens.withColumn("diff", F.round("diff", 6)), "doc_id"),
                 "score")

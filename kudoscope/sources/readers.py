@@ -28,15 +28,25 @@ def parse_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
             .drop("_r"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files hold fewer splits than there are cores.
+
+    Text rules and cleaning are bound by the processor, so a handful of large row
+    groups (or one gzip file) must not decide the parallelism. Input with enough
+    splits, which is every large input, passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_raw_reviews(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """JSON-lines reviews, also gzipped; undecodable lines are skipped.
 
-    A gzip file is read by one task, so its rows are spread out before any work.
+    A gzip file is read by one task; name ``partitions`` to spread its rows wider
+    than over the cores before any work.
     """
     lines = spark.read.text(path).withColumnRenamed("value", "_line")
-    if ".gz" in path or partitions:
-        n = partitions or spark.sparkContext.defaultParallelism
-        lines = lines.repartition(n)
+    lines = lines.repartition(partitions) if partitions else spread(lines)
     return parse_json(lines.filter(~tx.is_blank(F.col("_line"))), "_line", RAW_REVIEW).drop("_line")
 
 
