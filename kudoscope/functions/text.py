@@ -56,8 +56,14 @@ def lower_text(text: Column) -> Column:
 
 
 def trim_spaces(text: Column) -> Column:
-    """Trim any Unicode whitespace at both ends."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Trim any Unicode whitespace at both ends.
+
+    Most texts need no trim, which their first and last character show. The
+    lookbehind makes a long run of spaces inside a text cost its length, once.
+    """
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    trimmed = F.regexp_replace(text, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
+    return F.when(ends.rlike(SPACE), trimmed).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
@@ -66,7 +72,15 @@ def is_blank(text: Column) -> Column:
 
 
 def strip_html(text: Column) -> Column:
-    return F.regexp_replace(text, "<[^>]+>", " ")
+    """Replace tags by a space.
+
+    Only the part up to the last ``>`` can hold a tag. Leaving the rest alone keeps
+    texts with many unclosed ``<`` linear.
+    """
+    rest = F.substring_index(text, ">", -1)
+    head = F.left(text, F.length(text) - F.length(rest))
+    return F.when(F.contains(text, F.lit("<")),
+                  F.concat(F.regexp_replace(head, "<[^>]+>", " "), rest)).otherwise(text)
 
 
 def strip_urls(text: Column) -> Column:

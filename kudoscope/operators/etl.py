@@ -78,11 +78,13 @@ def funnel(raw: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
     """One row of counters from raw rows down to usable rows.
 
     One pass: conditional counts plus one distinct count, which Spark reduces per
-    partition before the shuffle.
+    partition before the shuffle. Texts are told apart by their SHA-256, so the
+    shuffle moves fingerprints.
     """
     sampled = raw if sampled is None else sampled
     tagged = standardise(sampled).select(
-        "drop_reason", F.when(F.col("drop_reason").isNull(), F.col("clean_text")).alias("kept"))
+        "drop_reason",
+        F.when(F.col("drop_reason").isNull(), F.sha2("clean_text", 256)).alias("kept"))
     counts = tagged.agg(
         F.count(F.lit(1)).alias("sampled_rows"),
         F.count_if(F.col("drop_reason") == "invalid_rating").alias("invalid_rating"),
@@ -142,10 +144,10 @@ def quality_checks(df: DataFrame, source: str = SOURCE) -> DataFrame:
         for n in ("non_empty_clean_text", "label_domain", "rating_range", "constant_source")
     ])).alias("c")).select("c.*")
 
-    def repeats(column: str, name: str) -> DataFrame:
+    def repeats(column: Column, name: str) -> DataFrame:
         return (df.groupBy(column).count()
                 .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("violations"))
                 .select(F.lit(name).alias("check_name"), "violations"))
 
-    return (row_checks.unionByName(repeats("clean_text", "unique_clean_text"))
-            .unionByName(repeats("review_id", "unique_review_id")))
+    return (row_checks.unionByName(repeats(F.sha2("clean_text", 256), "unique_clean_text"))
+            .unionByName(repeats(F.col("review_id"), "unique_review_id")))

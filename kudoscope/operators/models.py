@@ -18,7 +18,9 @@ from kudoscope.operators.splitting import stratified_sample
 from kudoscope.operators.vectorise import vocabulary_of
 from kudoscope.schemas import LABELS
 
-HELD_OUT_SOURCE = "amazon_reviews_2023_test_split"      # fixed value
+# Provenance of the held-out report, convergence tolerance.
+HELD_OUT_SOURCE = "amazon_reviews_2023_test_split"
+TOLERANCE = 1e-4
 
 
 @dataclass
@@ -35,7 +37,8 @@ def _label_index(label: Column) -> Column:
 def _logistic(train: DataFrame, n: int, weights: DataFrame | None, max_iter: int) -> PipelineModel:
     # objective C * sum(loss) + |w|^2 / 2 with C = 1 equals mean loss + (1/n) |w|^2 / 2
     lr = LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial",
-                            regParam=1.0 / n, standardization=False, maxIter=max_iter)
+                            regParam=1.0 / n, standardization=False, maxIter=max_iter,
+                            tol=TOLERANCE)
     if weights is not None:
         # one row per class
         train = train.join(F.broadcast(weights.select("sentiment", "weight")), "sentiment")
@@ -55,9 +58,13 @@ def _linear_svc(train: DataFrame, n: int, max_iter: int) -> PipelineModel:
     return PipelineModel(stages)
 
 
-def fit_classifier(name: str, featured: DataFrame, max_iter: int = 200,
+def fit_classifier(name: str, featured: DataFrame, max_iter: int = 1000,
                    svc_max_iter: int = 50) -> PipelineModel:
-    """Fit one of the three model codes on rows with ``features`` and ``sentiment``."""
+    """Fit one of the three model codes on rows with ``features`` and ``sentiment``.
+
+    Logistic fits stop on tolerance, long before ``max_iter``. The hinge loss has no
+    such stop where a class cannot be separated, hence its own limit.
+    """
     train = featured.withColumn("label_index", _label_index(F.col("sentiment")))
     n = train.count()
     if name == "logistic_regression":

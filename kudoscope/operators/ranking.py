@@ -57,8 +57,10 @@ def smallest_draws(df: DataFrame, stratum: str, draw: str, quotas: DataFrame) ->
     walk = Window.partitionBy("stratum").orderBy("bucket")
     histogram = (rows.groupBy("stratum", "bucket").count()
                  .withColumn("upto", F.sum("count").over(walk))
+                 .withColumn("size", F.sum("count").over(Window.partitionBy("stratum")))
                  .withColumn("before", F.col("upto") - F.col("count")))
     edge = (histogram.join(F.broadcast(quotas), "stratum")
+            .withColumn("quota", F.least("quota", "size"))
             .filter((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("upto")))
             .select("stratum", "bucket", (F.col("quota") - F.col("before")).alias("left")))
     in_edge = Window.partitionBy("stratum").orderBy("draw")
@@ -76,10 +78,6 @@ def flag_quota(df: DataFrame, stratum: str, unique: str, seed: int, quotas: Data
     above the size of its stratum takes the whole stratum.
     """
     drawn = df.withColumn("_draw", draw_hash(F.col(unique), seed))
-    sizes = (drawn.filter(F.col(stratum).isin(*LABELS))
-             .groupBy(F.col(stratum).alias("stratum")).count())
-    quotas = (sizes.join(F.broadcast(quotas), "stratum", "left")
-              .select("stratum", F.least("count", F.coalesce("quota", F.lit(0))).alias("quota")))
     cuts = smallest_draws(drawn, stratum, "_draw", quotas)
     return (drawn.join(F.broadcast(cuts), F.col(stratum) == F.col("stratum"), "left")
             .withColumn(flag, F.coalesce(F.col("_draw") <= F.col("cut"), F.lit(False)))

@@ -104,6 +104,13 @@ def distribution_entries(reviews: DataFrame) -> DataFrame:
     return out
 
 
+def funnel_entries(funnel: DataFrame) -> DataFrame:
+    """Counters of an ETL funnel as ``(section, name, value)`` rows."""
+    long = funnel.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in funnel.columns])))
+    return _entries(long, "funnel", F.col("name"), F.col("value"))
+
+
 def dashboard_entries(reviews: DataFrame, predictions: DataFrame, metrics: DataFrame,
                       keywords: DataFrame) -> DataFrame:
     """The dashboard bundle in long form: totals, metrics, keywords, distributions."""

@@ -25,15 +25,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 5 * VOCABULARY_SIZE) -> Dat
     return F.broadcast(df) if small else df
 
 
-def term_counts(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFrame:
-    """``(doc, term, tf)`` of single words and pairs.
+def document_terms(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFrame:
+    """``(doc, term)`` for every occurrence of a single word or pair.
 
     The texts are hashed by document once, before they fan out into terms: every
     later grouping by document finds that partitioning and does not shuffle.
     """
-    terms = df.select(doc, clean).repartition(doc).select(
+    return df.select(doc, clean).repartition(doc).select(
         doc, F.explode(tx.ngrams(tx.words(F.col(clean)))).alias("term"))
-    return terms.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_counts(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFrame:
+    """``(doc, term, tf)`` of single words and pairs."""
+    return (document_terms(df, doc, clean).groupBy(doc, "term")
+            .agg(F.count(F.lit(1)).alias("tf")))
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
@@ -45,11 +50,13 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
 def tfidf_table(df: DataFrame, doc: str, clean: str = "clean_text",
                 size: int = VOCABULARY_SIZE) -> DataFrame:
     """``(doc, term, tf, tfidf)`` with smoothed idf and unit length per document."""
-    counts = term_counts(df, doc, clean)
     documents = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((documents + 1) / (F.col("df") + 1)) + 1
-    # the vocabulary is limited to `size` rows, so it may be broadcast
-    weighted = (counts.join(F.broadcast(vocabulary(counts, size)), "term")
+    # the vocabulary is limited to `size` rows, so it may be broadcast; joined before
+    # counting it drops most pairs, which occur too rarely to be in it
+    known = F.broadcast(vocabulary(term_counts(df, doc, clean), size).select("term", "df"))
+    weighted = (document_terms(df, doc, clean).join(known, "term").groupBy(doc, "term")
+                .agg(F.count(F.lit(1)).alias("tf"), F.max("df").alias("df"))
                 .withColumn("weight", F.col("tf") * idf))
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc)))
     return weighted.select(doc, "term", "tf", (F.col("weight") / length).alias("tfidf"))

@@ -38,6 +38,7 @@ RAW_LABELS = ("Positive", "LABEL_0", "label_1", "LABEL_2", "NEGATIVE", "neutral"
 STATUSES = (200, 403, 404, 429, 500)
 
 
+# Work on these is per character; on the numeric tables a scan is cheaper than a shuffle.
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 

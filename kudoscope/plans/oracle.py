@@ -480,7 +480,8 @@ SELECT * FROM (
          CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name ELSE 'Unknown Place' END AS name,
          CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END AS address,
          CASE WHEN c_acctbal > 1000 THEN 7 ELSE 0 END AS user_rating_count,
-         CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS rank
+         CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(c_custkey AS VARCHAR))
+              AS INTEGER) AS rank
   FROM customer) WHERE rank <= 10""",
     "payload_status_class": """
 SELECT event_id, CAST(status AS INTEGER) AS status, status = 200 AS success,

@@ -800,7 +800,8 @@ def _stream(spark, sf, name: str) -> DataFrame:
 
 @query
 def stream_score(spark, sf):
-    tagged = live.tag_stream(ad.text_table(_stream(spark, sf, "documents"))).select(
+    cores = spark.sparkContext.defaultParallelism
+    tagged = live.tag_stream(ad.text_table(_stream(spark, sf, "documents")), cores).select(
         "row_order", "primary_aspect", F.array_join("all_aspects", "|").alias("all_aspects"),
         "issue", "priority", "suggested_action")
     folder = work_dir(spark, "stream-score")

@@ -155,15 +155,16 @@ def unified_place_reviews(places: DataFrame) -> DataFrame:
 def place_search(df: DataFrame, query: str = "query", body: str = "body",
                  limit: int = SEARCH_LIMIT) -> DataFrame:
     """Found places of each search payload, at most ``limit`` per query."""
-    parsed = parse_json(df, body, PLACE_SEARCH).select(query, F.explode("places").alias("p"))
+    parsed = parse_json(df, body, PLACE_SEARCH).select(
+        query, F.posexplode("places").alias("position", "p"))
     flat = parsed.select(
-        query, F.col("p.id").alias("place_id"),
+        query, "position", F.col("p.id").alias("place_id"),
         F.coalesce("p.displayName.text", F.lit(UNKNOWN_PLACE)).alias("name"),
         F.coalesce("p.formattedAddress", F.lit("")).alias("address"),
         F.col("p.rating").alias("rating"),
         F.coalesce("p.userRatingCount", F.lit(0)).alias("user_rating_count"),
         F.coalesce("p.googleMapsUri", F.lit("")).alias("maps_uri"))
-    return top_per_group(flat, [query], [F.length("place_id").asc()], limit, "place_id")
+    return top_per_group(flat, [query], [F.col("position").asc()], limit, "place_id")
 
 
 def response_class(status: Column, details: bool = True) -> Column:

@@ -17,9 +17,12 @@ def write_reviews(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
-def write_summary(reviews: DataFrame, path: str) -> None:
-    """Dataset summary as one nested JSON document."""
-    store.bundle(store.distribution_entries(reviews)).coalesce(1).write.mode("overwrite").json(path)
+def write_summary(reviews: DataFrame, path: str, funnel: DataFrame | None = None) -> None:
+    """Dataset summary as one nested JSON document: distributions and funnel counters."""
+    entries = store.distribution_entries(reviews)
+    if funnel is not None:
+        entries = entries.unionByName(store.funnel_entries(funnel))
+    store.bundle(entries).coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_product_audit(df: DataFrame, path: str) -> None:

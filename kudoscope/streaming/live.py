@@ -20,9 +20,12 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.parquet(folder)
 
 
-def tag_stream(reviews: DataFrame) -> DataFrame:
-    """Stateless tagging of arriving reviews; the same function as in batch."""
-    return with_intelligence(reviews)
+def tag_stream(reviews: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Stateless tagging of arriving reviews; the same function as in batch.
+
+    ``partitions`` spreads micro-batches that hold only a few large files.
+    """
+    return with_intelligence(reviews.repartition(partitions) if partitions else reviews)
 
 
 def dedup_log_stream(log: DataFrame, key: str = "review_id", stamp: str = "timestamp",
