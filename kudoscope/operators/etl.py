@@ -95,10 +95,8 @@ def funnel(raw: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
     ).withColumn("duplicate_clean_text", F.col("_kept") - F.col("final_rows")).drop("_kept")
     if sampled is raw:
         return counts.withColumn("raw_rows", F.col("sampled_rows"))
-    total = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
-    # both sides are single-row aggregates
-    return counts.withColumn("_one", F.lit(1)).join(
-        total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    total = raw.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counts.withColumn("raw_rows", total)
 
 
 def normalise_legacy(df: DataFrame, overwrite_text: bool = True) -> DataFrame:

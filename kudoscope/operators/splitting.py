@@ -29,9 +29,10 @@ def split_quotas(df: DataFrame, label: str = "sentiment", test_share: float = 0.
     sizes = _class_sizes(df, label).withColumn(
         "n_train", F.col("n") - F.ceil(F.round(F.col("n") * test_share, 6)))
     product = F.col("size").cast(_WIDE) * F.col("n_train").cast(_WIDE)
+    rest = product % F.col("n").cast(_WIDE)
     dealt = sizes.withColumns({
-        "base": F.floor(product / F.col("n")).cast("bigint"),
-        "rest": (product % F.col("n").cast(_WIDE)).cast("bigint")})
+        "base": ((product - rest) / F.col("n")).cast("bigint"),     # exact: no remainder left
+        "rest": rest.cast("bigint")})
     everything = Window.partitionBy()                       # three rows at most
     by_rest = Window.orderBy(F.col("rest").desc(), F.col("stratum").asc())
     extra = F.col("n_train") - F.sum("base").over(everything)

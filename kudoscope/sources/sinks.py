@@ -66,7 +66,7 @@ def load_artifacts(path: str, names: list[str]) -> Artifacts:
 def write_label_info(split: DataFrame, path: str) -> None:
     """Label list, class sizes and split sizes as one JSON row per class."""
     (split.groupBy("sentiment")
-     .agg(F.count_if("is_test").alias("test_size"), F.count_if("NOT is_test").alias("train_size"))
+     .agg(F.count_if("is_test").alias("test_size"), F.count_if(~F.col("is_test")).alias("train_size"))
      .coalesce(1).write.mode("overwrite").json(path))
 
 
