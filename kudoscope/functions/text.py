@@ -170,7 +170,7 @@ def ngrams(tokens: Column) -> Column:
     """Single words followed by adjacent pairs."""
     pairs = F.when(
         F.size(tokens) >= 2,
-        F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens)),
+        F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1),
                    lambda a, b: F.concat(a, F.lit(" "), b)),
     ).otherwise(F.array().cast("array<string>"))
     return F.concat(tokens, pairs)

@@ -21,6 +21,8 @@ from kudoscope.schemas import LABELS
 # Provenance of the held-out report, convergence tolerance.
 HELD_OUT_SOURCE = "amazon_reviews_2023_test_split"
 TOLERANCE = 1e-4
+# Rows are packed into blocks of this size for each pass of a fit.
+BLOCK_MB = 16.0
 
 
 @dataclass
@@ -38,7 +40,7 @@ def _logistic(train: DataFrame, n: int, weights: DataFrame | None, max_iter: int
     # objective C * sum(loss) + |w|^2 / 2 with C = 1 equals mean loss + (1/n) |w|^2 / 2
     lr = LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial",
                             regParam=1.0 / n, standardization=False, maxIter=max_iter,
-                            tol=TOLERANCE)
+                            tol=TOLERANCE, maxBlockSizeInMB=BLOCK_MB)
     if weights is not None:
         # one row per class
         train = train.join(F.broadcast(weights.select("sentiment", "weight")), "sentiment")
@@ -52,7 +54,7 @@ def _linear_svc(train: DataFrame, n: int, max_iter: int) -> PipelineModel:
     for c in LABELS:
         one = train.withColumn("is_class", (F.col("sentiment") == c).cast("double"))
         svc = LinearSVC(featuresCol="features", labelCol="is_class", regParam=1.0 / n,
-                        standardization=False, maxIter=max_iter,
+                        standardization=False, maxIter=max_iter, maxBlockSizeInMB=BLOCK_MB,
                         predictionCol=f"claims_{c}", rawPredictionCol=f"margin_{c}")
         stages.append(svc.fit(one))
     return PipelineModel(stages)

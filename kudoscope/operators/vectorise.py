@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram, Normalizer,
-                                RegexTokenizer, SQLTransformer)
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
+                                SQLTransformer)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -16,6 +16,15 @@ from kudoscope.functions import text as tx
 VOCABULARY_SIZE = 10_000
 
 
+# The terms of `text.ngrams(text.words(...))` as a statement, which a saved pipeline
+# can hold; built-in functions spare the tokeniser and n-gram stages their UDFs.
+_TERMS_SQL = """
+SELECT *, concat(words, if(size(words) < 2, array(), zip_with(
+         slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1),
+         (a, b) -> concat(a, ' ', b)))) AS terms
+FROM (SELECT *, filter(split({clean}, ' '), w -> length(w) >= 2) AS words FROM __THIS__)"""
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 5 * VOCABULARY_SIZE) -> DataFrame:
     """Broadcast hint only when ``df`` is counted to be small; else a plain join side.
 
@@ -80,14 +89,11 @@ def fit_vectoriser(train: DataFrame, doc: str, clean: str = "clean_text",
     terms = [r["term"] for r in rows]
     idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in rows]
     return PipelineModel([
-        RegexTokenizer(inputCol=clean, outputCol="words", gaps=False, pattern=r"\b\w\w+\b"),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
+        SQLTransformer(statement=_TERMS_SQL.format(clean=clean)),
         CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="tf"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="weighted"),
         Normalizer(p=2.0, inputCol="weighted", outputCol="features"),
-        SQLTransformer(statement="SELECT * EXCEPT (words, pairs, terms, tf, weighted) "
-                                 "FROM __THIS__"),
+        SQLTransformer(statement="SELECT * EXCEPT (words, terms, tf, weighted) FROM __THIS__"),
     ])
 
 

@@ -416,7 +416,9 @@ def stratified_split(spark, sf):
 
 @query
 def stratified_sample(spark, sf):
-    return splitting.stratified_sample(ad.relational_reviews(spark, sf), 200).select(
+    # the sample passes over its input several times; hash the ids of the rows once
+    rows = readers.spread(ad.relational_reviews(spark, sf).select("review_id", "sentiment", "rating"))
+    return splitting.stratified_sample(materialise(rows, "sampled"), 200).select(
         "review_id", "sentiment", "rating")
 
 

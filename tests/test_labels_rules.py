@@ -1,12 +1,15 @@
-"""Value rules and rule intelligence against plain Python statements of the rules."""
+"""Value rules and rule intelligence against hand cases and SQL substring search."""
 
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from conftest import one
 from pyspark.sql import functions as F
 
 from kudoscope.functions import labels, rules
+from kudoscope.plans import oracle
 
 
 @pytest.mark.parametrize("raw,label", [
@@ -80,17 +83,12 @@ def test_cases(spark):
     assert got[8][0:2] == ("Product Quality", ["General"])
 
 
-def plain_rules(text, sentiment, rating):
-    low = (text or "").lower()
-    has = lambda group: any(k in low for k in group)     # noqa: E731
-    found = [a for a, group in rules.ASPECT_KEYWORDS.items() if has(group)]
-    hit = next((r for r in rules.ISSUE_RULES if has(r[2])), None)
-    primary = hit[0] if hit else (found[0] if found else "Product Quality")
-    if hit and hit[0] not in found:
-        found = [hit[0], *found]
-    negative = sentiment == "negative" or rating <= 2
-    level = ("HIGH" if has(rules.SEVERE_TERMS) else "MEDIUM") if negative else "LOW"
-    return primary, found or ["General"], hit[1] if hit else "General Feedback", level
+def in_sql(cases):
+    frame = pd.DataFrame(cases, columns=["text", "sentiment", "rating"])
+    frame["i"] = range(len(cases))
+    found = duckdb.sql(f"""WITH {oracle.intelligence('frame')}
+        SELECT primary_aspect, all_aspects, issue, priority, suggested_action FROM intel ORDER BY i""")
+    return [tuple(r) for r in found.fetchall()]
 
 
 def test_single_scan_equals_substring_search(spark):
@@ -106,12 +104,11 @@ def test_single_scan_equals_substring_search(spark):
         text = rng.choice(["", " "]).join(parts)
         cases.append((text, rng.choice(["negative", "neutral", "positive"]),
                       float(rng.randint(1, 5))))
-    got = [g[:4] for g in intelligence(spark, cases)]
-    assert got == [plain_rules(*c) for c in cases]
+    assert intelligence(spark, cases) == in_sql(cases)
 
 
 def test_each_keyword_alone(spark):
     cases = [(k, "neutral", 3.0) for k in rules.ALL_KEYWORDS]
-    assert [g[:4] for g in intelligence(spark, cases)] == [plain_rules(*c) for c in cases]
+    assert intelligence(spark, cases) == in_sql(cases)
     assert sum(map(len, rules.ASPECT_KEYWORDS.values())) == 104
     assert sum(len(r[2]) for r in rules.ISSUE_RULES) == 61
