@@ -10,8 +10,11 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
 
     The optimiser copies a column's expression into every filter it pushes below
     the projection, so a filter on cleaned text would clean each text twice. A
-    filter on the output of a generator stays above it; exploding a one-element
-    array therefore evaluates each expression exactly once per row.
+    filter on the output of a generator stays above it, so passing the finished
+    values through a one-element array keeps them from being computed again. They
+    are computed in a projection below it, where repeated parts are shared.
     """
-    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    return df.select("*", F.inline(one))
+    held = {n: f"_once_{n}" for n in columns}
+    one = F.array(F.struct(*[F.col(h).alias(n) for n, h in held.items()]))
+    return (df.withColumns({held[n]: c for n, c in columns.items()})
+            .select(*df.columns, F.inline(one)))

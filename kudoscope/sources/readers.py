@@ -29,14 +29,17 @@ def parse_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files hold fewer splits than there are cores.
+    """Rows over all cores when a small input sits in fewer files than there are cores.
 
-    Text rules and cleaning are bound by the processor, so a handful of large row
-    groups (or one gzip file) must not decide the parallelism. Input with enough
-    splits, which is every large input, passes through without a shuffle.
+    Text rules and cleaning are bound by the processor, so one gzip file or one
+    large row group (which is read by one task, whatever the number of splits) must
+    not decide the parallelism. An input with two or more splits per core, which is
+    every large one, passes through without a shuffle and without listing files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.rdd.getNumPartitions() >= 2 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def read_raw_reviews(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
