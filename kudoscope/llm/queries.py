@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kudoscope.llm.chat import op2_preference_format
 from kudoscope.llm.decontam import op7_decontamination
 from kudoscope.llm.langid import op6_langid
 from kudoscope.llm.mixing import op1_mixing
+from kudoscope.llm.pii import op3_pii
 from kudoscope.llm.simhash import op8_simhash
+from kudoscope.llm.styletree import op5_main_text
 from kudoscope.llm.substring import op4_substring_dedup
 from kudoscope.llm.toxicity import op9_toxicity
 from kudoscope.llm.weighted import op10_weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mixing, op4_substring_dedup, op6_langid, op7_decontamination, op8_simhash, op9_toxicity,
-        op10_weighted_sampling)}
+        op1_mixing, op2_preference_format, op3_pii, op4_substring_dedup, op5_main_text, op6_langid,
+        op7_decontamination, op8_simhash, op9_toxicity, op10_weighted_sampling)}
 
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": r"""
