@@ -20,6 +20,9 @@ DEFAULTS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Spark's switch for dropping the shuffle files of a query as soon as it has run.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name: str = "kudoscope", master: str | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -49,8 +52,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several passes need the same expensive rows: the written table
-    cuts the lineage and survives the loss of executors, unlike a cache.
+    cuts the lineage and survives the loss of executors, unlike a cache. The
+    shuffle files of the write have done their work when it ends and are freed.
     """
-    path = work_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing will read it again."""
+    spark = written.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    for folder in {f.rpartition("/")[0] for f in written.inputFiles()[:1]}:
+        if "/kudoscope/" in folder and (not base or base.removeprefix("file:").strip("/") in folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
