@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kudoscope.llm import common
-from kudoscope.session import materialise
+from kudoscope.session import discard, materialise
 
 WINDOW = 50
 PERIOD = 31
@@ -42,10 +42,9 @@ def anchors(tokens: DataFrame, window: int = WINDOW, period: int = PERIOD, cover
 
 
 def shared_anchors(found: DataFrame) -> DataFrame:
-    """The places of anchors that occur under more than one doc_id, later documents only."""
-    spread = (found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-              .filter(F.col("low") < F.col("high")).select("anchor"))
-    return spread
+    """The anchors that occur under more than one doc_id."""
+    return (found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+            .filter(F.col("low") < F.col("high")).select("anchor"))
 
 
 def _runs(places: Column, gap: Column | int) -> Column:
@@ -63,19 +62,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     documents costs a row for each of its places.
     """
     width = window - period + 1
-    tokens = _tokens(docs)
-    found = materialise(anchors(tokens, window, period, cover), "substring-anchors")
+    found = materialise(anchors(_tokens(docs), window, period, cover), "substring-anchors")
     shared = materialise(shared_anchors(found), "substring-shared")
     hit = found.join(shared, "anchor").groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_set("at")).alias("hits"))
     hit = materialise(hit, "substring-hits")
+    discard(found)
     # windows that hold a shared anchor: from window - width words before it to its own place
-    n = F.size("words")
+    keyed = hit.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "hits")
+    # texts meet their hits as they are: cut into words they take twice the room
+    own = docs.select("doc_id", "text", common.text_key(F.col("text")).alias("text_key"))
+    wide = own.join(keyed, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    wide = wide.select("doc_id", "text_key", "hits", common.words(F.col("text")).alias("words"))
     runs = _runs(F.col("hits"), window - width)
     spans = F.transform(runs, lambda r: F.sequence(
-        F.greatest(r["first"] - (window - width), F.lit(0)), F.least(r["last"], n - window)))
-    keyed = hit.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "hits")
-    wide = tokens.join(keyed, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        F.greatest(r["first"] - (window - width), F.lit(0)), F.least(r["last"], F.size("words") - window)))
     here = F.slice("words", F.col("at") + 1, F.lit(window))
     windows = (wide.select("doc_id", "text_key", "words", F.explode(spans).alias("span"))
                .select("doc_id", "text_key", "words", F.explode("span").alias("at"))
@@ -84,8 +85,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     windows = materialise(windows, "substring-windows")
     low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     low = materialise(low.filter("low < high").drop("high"), "substring-low")
-    return (windows.join(low, ["h1", "h2"]).filter(F.col("doc_id") > F.col("low"))
-            .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("at")).alias("starts")))
+    starts = materialise(windows.join(low, ["h1", "h2"]).filter(F.col("doc_id") > F.col("low"))
+                         .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("at")).alias("starts")),
+                         "substring-starts")
+    discard(windows)
+    return starts
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -98,8 +102,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame
     other columns are kept, whatever their names.
     """
     starts = repeated_windows(docs, window, **options)
-    starts = materialise(starts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"),
-                                       "starts"), "substring-starts")
+    starts = starts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "starts")
     own = docs.withColumns({"_w": common.words(F.col("text"))})
     runs = F.transform(_runs(F.col("starts"), window), lambda r: F.struct(
         r["first"].alias("first"), (r["last"] + window - 1).alias("last")))
