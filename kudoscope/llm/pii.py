@@ -49,7 +49,9 @@ def _offsets(matches: Column, gaps: Column) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), F.get(matches, i).alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])
+    return F.when(F.size(matches) > 0, F.aggregate(
+        F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])).otherwise(
+        F.array().cast(_SPANS))
 
 
 def _digits(match: Column) -> Column:
@@ -57,16 +59,20 @@ def _digits(match: Column) -> Column:
 
 
 def _luhn(match: Column) -> Column:
-    number = _digits(match)
-    n = F.length(number)
+    """12 to 19 digits that pass the check; every second one from the right counts double."""
+    def passes(number: Column) -> Column:
+        n = F.length(number)
 
-    def add(total: Column, i: Column) -> Column:
-        digit = F.substring(number, i, F.lit(1)).cast("int")
-        twice = F.pmod(n - i, F.lit(2)) == 1
-        return total + F.when(twice, digit * 2 - F.when(digit > 4, 9).otherwise(0)).otherwise(digit)
+        def add(total: Column, i: Column) -> Column:
+            digit = F.substring(number, i, F.lit(1)).cast("int")
+            twice = F.pmod(n - i, F.lit(2)) == 1
+            return total + F.when(twice, digit * 2 - F.when(digit > 4, 9).otherwise(0)).otherwise(digit)
 
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
-    return n.between(12, 19) & (F.pmod(total, F.lit(10)) == 0)
+        total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+        return F.when(n.between(12, 19), F.pmod(total, F.lit(10)) == 0).otherwise(False)
+
+    # through an array, so that the digits are taken out once and not at every step
+    return F.exists(F.array(_digits(match)), passes)
 
 
 def _small_parts(match: Column) -> Column:
@@ -100,13 +106,15 @@ def _matches(docs: DataFrame) -> DataFrame:
              for k, p in PATTERNS.items()}
     found["_cand"] = F.when(F.rlike(text, F.lit("[0-9@]")),
                             F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(none)
-    return compute_once(docs, **found)
+    # what stands between the matches, once per text and only where there are any
+    docs = compute_once(docs, **found)
+    return compute_once(docs, **{f"{c}_gaps": F.when(F.size(c) > 0, F.split(text, p, -1)).otherwise(none)
+                                 for c, p in [*((f"_{k}", p) for k, p in PATTERNS.items()), ("_cand", CANDIDATE)]})
 
 
 def _spans(kind: str) -> Column:
     """Valid spans of a kind: ``start, rank, kind, end, match``."""
-    gaps = F.split(F.coalesce("text", F.lit("")), PATTERNS[kind], -1)
-    located = F.when(F.size(f"_{kind}") > 0, _offsets(F.col(f"_{kind}"), gaps)).otherwise(F.array().cast(_SPANS))
+    located = _offsets(F.col(f"_{kind}"), F.col(f"_{kind}_gaps"))
     valid = F.filter(located, lambda s: _VALID[kind](s["match"]))
     return F.transform(valid, lambda s: F.struct(
         s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
@@ -127,8 +135,8 @@ def _context(gap: Column, left: bool) -> Column:
 
 def _occurrences() -> Column:
     """Words that hold a digit or an at sign, each with its place and its two contexts."""
-    gaps = F.split(F.coalesce("text", F.lit("")), CANDIDATE, -1)
-    located = F.when(F.size("_cand") > 0, _offsets(F.col("_cand"), gaps)).otherwise(F.array().cast(_SPANS))
+    gaps = F.col("_cand_gaps")
+    located = _offsets(F.col("_cand"), gaps)
     return F.transform(located, lambda s, i: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
         _context(F.get(gaps, i), True).alias("before"), _context(F.get(gaps, i + 1), False).alias("after")))
