@@ -162,20 +162,21 @@ def parse(html: Column) -> Column:
 
 
 def _entropies(rows: DataFrame, what: str) -> DataFrame:
-    """Per node: pages, and both views of the values ``what`` that pages hang below it.
+    """Per node of MIN_PAGES pages or more: both views of the values ``what`` that pages hang below it.
 
     A value on n of a node's m pages has entropy log_m(n); the mean over the distinct
     values says how much of the content is shared. The entropy of the values' own
     distribution says how much the pages differ. Counts come first, by value and then
     by node, so a host with a third of all pages is added up before it is shuffled.
     """
-    pages = rows.groupBy("host", "node").agg(F.countDistinct("page").alias("pages"))
+    pages = (rows.groupBy("host", "node").agg(F.countDistinct("page").alias("pages"))
+             .filter(F.col("pages") >= MIN_PAGES))
     counts = rows.groupBy("host", "node", what).agg(F.count(F.lit(1)).alias("n"))
     joined = counts.join(pages, ["host", "node"])
     base = F.log(F.col("pages").cast("double"))
     share = F.col("n") / F.col("pages")
     return joined.groupBy("host", "node").agg(
-        F.max("pages").alias("pages"), F.avg(F.log(F.col("n").cast("double")) / base).alias("shared"),
+        F.avg(F.log(F.col("n").cast("double")) / base).alias("shared"),
         F.sum(-share * F.log(share) / base).alias("varied"))
 
 
@@ -191,9 +192,9 @@ def importances(parsed: DataFrame) -> DataFrame:
              .select("host", "page", F.col("b.node").alias("node"), F.xxhash64("b.text").alias("value")).distinct())
     styles = (parsed.select("host", page, F.explode("parsed.styles").alias("s"))
               .select("host", "page", F.col("s.node").alias("node"), F.col("s.style").alias("value")).distinct())
-    content = _entropies(texts, "value").select("host", "node", "pages", (1 - F.col("shared")).alias("importance"))
-    looks = _entropies(styles, "value").select("host", "node", "pages", F.col("varied").alias("importance"))
-    return (content.unionByName(looks).filter(F.col("pages") >= MIN_PAGES)
+    content = _entropies(texts, "value").select("host", "node", (1 - F.col("shared")).alias("importance"))
+    looks = _entropies(styles, "value").select("host", "node", F.col("varied").alias("importance"))
+    return (content.unionByName(looks)
             .groupBy("host", "node").agg(F.max("importance").alias("importance")))
 
 
