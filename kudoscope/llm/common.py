@@ -31,6 +31,34 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where body uses it in a loop."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each element the sum of those before it; empty for an empty array.
+
+    Works in blocks of about the square root of the length, since appending to an
+    array copies it.
+    """
+    def running(values: Column) -> Column:
+        return F.aggregate(values, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def sums(values: Column) -> Column:
+        n = F.size(values)
+        width = F.ceil(F.sqrt(n)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")),
+                             lambda b: running(F.slice(values, b * width + 1, width)))
+        found = let(blocks, lambda inner: let(
+            running(F.transform(inner, lambda p: F.element_at(p, -1))),
+            lambda outer: F.flatten(F.transform(inner, lambda p, i: F.transform(
+                F.slice(p, 1, F.size(p) - 1), lambda x: x + F.get(outer, i))))))
+        return F.when(n > 0, found).otherwise(F.array().cast("array<int>"))
+
+    return let(numbers, sums)
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kudoscope.functions.columns import compute_once
 from kudoscope.llm import common
@@ -41,17 +41,12 @@ _SPANS = "array<struct<start:int,end:int,match:string>>"
 
 def _offsets(matches: Column, gaps: Column) -> Column:
     """Start, end and text of each match, from the text between the matches."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(matches, i))
-        span = F.struct(start.alias("start"), end.alias("end"), F.get(matches, i).alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return F.when(F.size(matches) > 0, F.aggregate(
-        F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])).otherwise(
-        F.array().cast(_SPANS))
+    lengths = F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+    spans = common.let(common.sums_before(lengths), lambda before: F.transform(
+        matches, lambda m, i: F.struct(
+            (F.get(before, i) + F.length(F.get(gaps, i))).alias("start"),
+            (F.get(before, i) + F.length(F.get(gaps, i)) + F.length(m)).alias("end"), m.alias("match"))))
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(_SPANS))
 
 
 def _digits(match: Column) -> Column:
@@ -71,8 +66,7 @@ def _luhn(match: Column) -> Column:
         total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
         return F.when(n.between(12, 19), F.pmod(total, F.lit(10)) == 0).otherwise(False)
 
-    # through an array, so that the digits are taken out once and not at every step
-    return F.exists(F.array(_digits(match)), passes)
+    return common.let(_digits(match), passes)
 
 
 def _small_parts(match: Column) -> Column:
@@ -156,24 +150,36 @@ def occurrences(scanned: DataFrame) -> DataFrame:
 
     A word at which a base span starts stands for that span and is known; a word
     inside a span is no occurrence. Others keep what is between their first and last
-    letter, digit or at sign, and are left out if that is too short.
+    letter, digit or at sign, and are left out if that is too short. Words and spans
+    are met by sorting both along each text.
     """
-    inside = F.filter("base", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"]))
-    opens = F.filter(inside, lambda b: b["start"] >= F.col("w.start"))
-    word = F.col("w.match")
-    core = F.regexp_extract(word, "^[^\\p{L}\\p{N}@+]*+(.*?)[^\\p{L}\\p{N}@]*$", 1)
-    lead = F.length(F.regexp_extract(word, "^([^\\p{L}\\p{N}@+]*+)", 1))
-    rows = (scanned.select("doc_id", "text_key", "base", F.explode("words").alias("w"))
-            .withColumns({"inside": inside, "opens": opens, "core": core, "lead": lead})
-            .filter((F.size("inside") == 0) & (F.length("core") >= MIN_SHAPE) | (F.size("opens") > 0)))
-    known = F.size("opens") > 0
-    start = F.col("w.start") + F.col("lead")
-    one_word = F.get("opens", 0)["end"] <= F.col("w.end")
-    contexts = F.array_compact(F.array(F.col("w.before"), F.when(~known | one_word, F.col("w.after"))))
-    return rows.select(
-        "doc_id", "text_key", start.alias("start"), (start + F.length("core")).alias("end"),
-        F.when(known, F.get("opens", 0)["match"]).otherwise(F.col("core")).alias("instance"),
-        known.alias("known"), F.explode(contexts).alias("pattern"))
+    text = ["doc_id", "text_key"]
+    span = F.struct("start", "end", "match")
+    spans = (scanned.select(*text, F.explode("base").alias("s")).select(*text, "s.start", "s.end", "s.match")
+             .withColumns({"before": F.lit(None).cast("string"), "after": F.lit(None).cast("string"),
+                           "is_span": F.lit(1), "span": span}))
+    words = (scanned.select(*text, F.explode("words").alias("w")).select(*text, "w.*")
+             .withColumns({"is_span": F.lit(0), "span": F.lit(None).cast("struct<start:int,end:int,match:string>")}))
+    # at one place the word comes before the span, from either end
+    onward = Window.partitionBy(*text).orderBy("start", "is_span").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*text).orderBy(F.desc("start"), F.desc("is_span")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    core = F.regexp_extract("match", "^[^\\p{L}\\p{N}@+]*+(.*?)[^\\p{L}\\p{N}@]*$", 1)
+    lead = F.length(F.regexp_extract("match", "^([^\\p{L}\\p{N}@+]*+)", 1))
+    met = (words.unionByName(spans)
+           .withColumns({"reach": F.max(F.col("span.end")).over(onward),
+                         "opens": F.last("span", ignorenulls=True).over(back)})
+           .filter("is_span = 0")
+           .withColumns({"known": F.coalesce(F.col("opens.start") < F.col("end"), F.lit(False)),
+                         "core": core, "from": F.col("start") + lead})
+           .filter(F.col("known") | (F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))
+                                     & (F.length("core") >= MIN_SHAPE))))
+    one_word = F.col("opens.end") <= F.col("end")
+    contexts = F.array_compact(F.array("before", F.when(~F.col("known") | one_word, F.col("after"))))
+    return met.select(
+        *text, F.col("from").alias("start"), (F.col("from") + F.length("core")).alias("end"),
+        F.when(F.col("known"), F.col("opens.match")).otherwise(F.col("core")).alias("instance"),
+        "known", F.explode(contexts).alias("pattern"))
 
 
 def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
