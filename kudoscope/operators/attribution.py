@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from kudoscope.functions import text as tx
 from kudoscope.functions.labels import DEFAULT_MODEL, EXTERNAL_MODEL
-from kudoscope.operators.vectorise import bounded_broadcast
 
 # Band limit of a single token, limit and length of the word lists.
 BAND = 0.8
@@ -26,10 +25,11 @@ def term_differences(coefs: DataFrame) -> DataFrame:
     return coefs.groupBy("term").agg((of("positive") - of("negative")).alias("diff"))
 
 
-def explain_tokens(df: DataFrame, coefs: DataFrame, doc: str, text_col: str = "text",
-                   known_only: bool = False) -> DataFrame:
+def explain_tokens(df: DataFrame, coefs: DataFrame, doc: str, text_col: str = "text") -> DataFrame:
     """Every token with position, difference (null when unknown) and band.
 
+    A model has at most VOCABULARY_SIZE terms, which bounds what is broadcast.
+
     Texts are hashed by document before they fan out, so grouping the tokens of a
     review again (``top_words``) needs no shuffle.
     """
@@ -37,8 +37,7 @@ def explain_tokens(df: DataFrame, coefs: DataFrame, doc: str, text_col: str = "t
               .select(doc, F.posexplode(tx.attribution_tokens(F.col(text_col)))
                       .alias("position", "token"))
               .withColumn("term", F.lower("token")))
-    scored = tokens.join(bounded_broadcast(term_differences(coefs)), "term",
-                         "inner" if known_only else "left")
+    scored = tokens.join(F.broadcast(term_differences(coefs)), "term", "left")
     return scored.select(
         doc, "position", "token", "diff",
         F.when(F.col("diff") > BAND, "positive").when(F.col("diff") < -BAND, "negative")

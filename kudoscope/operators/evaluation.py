@@ -78,11 +78,9 @@ def classification_metrics(cells: DataFrame, keys: list[str] | None = None) -> D
 
 def evaluation_records(scored: DataFrame) -> DataFrame:
     """One record per ``model_name`` with metrics, nested matrix and label order."""
-    cells = confusion_cells(scored, keys=["model_name"])
-    metrics = classification_metrics(cells, ["model_name"])
-    matrix = cells.select("model_name", F.array(*[
-        F.array(*[_cell(a, p) for p in LABELS]) for a in LABELS]).alias("confusion_matrix"))
-    return (metrics.join(matrix, "model_name")
+    matrix = F.array(*[F.array(*[_cell(a, p) for p in LABELS]) for a in LABELS])
+    cells = confusion_cells(scored, keys=["model_name"]).withColumn("confusion_matrix", matrix)
+    return (classification_metrics(cells, ["model_name", "confusion_matrix"])
             .withColumns({"precision": F.col("macro_precision"), "recall": F.col("macro_recall"),
                           "labels": F.array(*[F.lit(c) for c in LABELS])}))
 

@@ -17,7 +17,8 @@ def search_predicate(query: str, literal: bool = False) -> Column:
     """Regular expression (or literal) found in lower-cased text or title."""
     pattern = query.strip().lower()
     if literal:
-        pattern = re.escape(pattern)
+        return (F.coalesce(F.contains(F.lower("text"), F.lit(pattern)), F.lit(False))
+                | F.coalesce(F.contains(F.lower("title"), F.lit(pattern)), F.lit(False)))
     return (F.coalesce(F.lower("text").rlike(pattern), F.lit(False))
             | F.coalesce(F.lower("title").rlike(pattern), F.lit(False)))
 

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kudoscope.schemas import LABELS
 
-# Above this k the rows that all partitions keep for one hot group add up, so the
-# group is first cut inside hash shards.
-SHARD_ABOVE = 32
+# Hash shards in which a group is cut first: what all partitions keep of one hot
+# group adds up, and would meet in one task.
 SHARDS = 64
 
 
@@ -20,11 +19,10 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
     shuffle, so no partition sends more than k rows of a group.
     """
     order = [*order, F.col(unique).asc()]
-    if k > SHARD_ABOVE:
-        shards = Window.partitionBy(*keys, "_shard").orderBy(*order)
-        df = (df.withColumn("_shard", F.pmod(F.xxhash64(unique), F.lit(SHARDS)))
-              .withColumn(rank, F.row_number().over(shards))
-              .filter(F.col(rank) <= k).drop("_shard", rank))
+    shards = Window.partitionBy(*keys, "_shard").orderBy(*order)
+    df = (df.withColumn("_shard", F.pmod(F.xxhash64(unique), F.lit(SHARDS)))
+          .withColumn(rank, F.row_number().over(shards))
+          .filter(F.col(rank) <= k).drop("_shard", rank))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 

@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kudoscope.functions import labels, text as tx
 from kudoscope.operators import analytics
-from kudoscope.schemas import METRIC
+from kudoscope.schemas import METRIC, STORED_REVIEW
+
+STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def stored_review_rows(reviews: DataFrame) -> DataFrame:
+    """Rows of the review table for a scored batch, one per review id; blank texts are not stored."""
+    return (reviews.filter(~tx.is_blank(F.col("text")))
+            .select(*[F.col(f.name).cast(f.dataType) for f in STORED_REVIEW]).dropDuplicates(["review_id"]))
 
 
 def prediction_rows(scored: DataFrame) -> DataFrame:
-    """Log rows of a scored table. Ids are hashes, so a retried batch repeats them.
+    """Log rows of a scored table. Ids are hashes of review, model and time of the run: a
+    retried batch repeats them, a later prediction of the same review has its own.
 
     Blank texts were answered without a model and are not logged.
     """
     return scored.filter(~tx.is_blank(F.col("text"))).select(
-        tx.hashed_id("pred_", F.col("review_id"), F.col("model_used")).alias("prediction_id"),
+        tx.hashed_id("pred_", F.col("review_id"), F.col("model_used"),
+                     F.date_format(F.col("timestamp").cast("timestamp"), STAMP)).alias("prediction_id"),
         "review_id", "sentiment", "confidence", "model_requested", "model_used", "timestamp")
 
 

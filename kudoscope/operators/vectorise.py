@@ -25,15 +25,6 @@ SELECT *, concat(words, if(size(words) < 2, array(), zip_with(
 FROM (SELECT *, filter(split({clean}, ' '), w -> length(w) >= 2) AS words FROM __THIS__)"""
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 5 * VOCABULARY_SIZE) -> DataFrame:
-    """Broadcast hint only when ``df`` is counted to be small; else a plain join side.
-
-    Without the hint Spark picks a shuffled join, whose skew AQE can split.
-    """
-    small = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def document_terms(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFrame:
     """``(doc, term)`` for every occurrence of a single word or pair.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kudoscope.functions import labels, text as tx
 from kudoscope.operators import etl
-from kudoscope.schemas import LABELS
+from kudoscope.schemas import LABELS, REVIEW
 from kudoscope.sources.readers import spread
 
 # Short English sentences that exercise every aspect, rule and severe term.
@@ -148,6 +148,51 @@ def loosely_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("toxic") == 0, "2020-02-29 12:00:01").alias("date"))
 
 
+def mistyped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines whose fields vary in type; one in ten does not decode."""
+    k, d = F.col("doc_id") % 6, table(spark, sf_dir, "documents")
+    quoted = F.regexp_extract(F.to_json(F.struct("text")), '(?s)^\\{"text":(.*)\\}$', 1)
+
+    def one_of(*values: str) -> Column:
+        return pick(values, k)
+
+    fields = {
+        "asin": F.concat(F.lit('"d'), "doc_id", F.lit('"')),
+        "rating": one_of("5", '"4.0"', "3.0", '"abc"', "null", "2"),
+        "helpful_vote": one_of("3", '"3"', "3.0", "null", '"x"', "7.9"),
+        "timestamp": one_of("1600000000000", '"1600000000000"', "1600000000000.0", "null", "1", "0"),
+        "verified_purchase": one_of("true", '"true"', '"false"', "1", "null", "false"),
+        "text": F.coalesce(F.nullif(quoted, F.lit("")), F.lit("null")),
+    }
+    body = F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), v) for n, v in fields.items()])
+    line = F.when(F.col("doc_id") % 10 == 7, F.concat(F.lit('{"asin": '), body)).otherwise(
+        F.concat(F.lit("{"), body, F.lit("}")))
+    return d.select(line.alias("value"))
+
+
+def mixed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place payload per conversation turn with fields of other types and three reviews."""
+    k, c = F.col("turn") % 3, table(spark, sf_dir, "conversations")
+    body = F.format_string(
+        '{"id":"m%d_%d","displayName":%s,"rating":%s,"userRatingCount":%s,"reviews":['
+        '{"text":"plain %d","rating":"5"},{"text":{},"originalText":{"text":"original %d"},"rating":4},'
+        '{"text":{"text":"object %d"},"originalText":{"text":"no"},"rating":3.0},{"text":{"text":""}}]}',
+        "conv_id", "turn", pick(('{"text":"Place"}', '"Place"', "null"), k), pick(("4.5", '"4.5"', "null"), k),
+        pick(("7.0", '"7"', "7"), k), "turn", "turn", "turn")
+    return c.select(body.alias("body"))
+
+
+def csv_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the processed columns, numbers and dates written in several ways."""
+    k, d = F.col("doc_id") % 4, table(spark, sf_dir, "documents")
+    values = {
+        "review_id": F.col("doc_id").cast("string"), "text": F.col("text"),
+        "rating": pick(("4.0", "3", "bad", "1.0"), k), "helpful_votes": pick(("3.0", "3", "x", "0"), k),
+        "verified_purchase": pick(("true", "True", "no", "1"), k),
+        "date": pick(("2020-02-29 12:00:01", "2020-02-29T12:00:01", "2020-02-29", "29 February"), k)}
+    return d.select(*[values.get(f.name, F.lit(None).cast("string")).alias(f.name) for f in REVIEW])
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as one text of a batch, with a stand-in score."""
     lines = table(spark, sf_dir, "documents").select(

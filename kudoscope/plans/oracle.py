@@ -355,7 +355,7 @@ tk1 AS (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS po
 tk AS (SELECT doc_id, CAST(position AS INTEGER) AS position, token, diff,
               CASE WHEN diff > 0.8 THEN 'positive' WHEN diff < -0.8 THEN 'negative' ELSE 'none' END
                 AS band
-       FROM tk1 JOIN diffs ON diffs.term = lower(token))"""
+       FROM tk1 LEFT JOIN diffs ON diffs.term = lower(token))"""
 
 PLACES = f"""pl AS (
   SELECT 'place_' || conv_id AS place_id,
@@ -463,6 +463,29 @@ SELECT d.doc_id AS row_order, CASE WHEN lang <> 'fr' THEN source ELSE '' END AS
        coalesce({LABEL_CLASS}, 'neutral') AS sentiment,
        CASE WHEN toxic = 0 THEN '2020-02-29 12:00:01' END AS date_dt
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "raw_jsonl_roundtrip": """
+SELECT 'd' || doc_id AS asin, list_extract(['5', '4.0', '3.0', 'abc', NULL, '2'], doc_id % 6 + 1) AS rating,
+       text, CAST(list_extract([1600000000000, 1600000000000, 1600000000000, -1, 1, 0], doc_id % 6 + 1)
+                  AS BIGINT) AS timestamp,
+       CAST(list_extract([3, 3, 3, -1, -1, 7], doc_id % 6 + 1) AS INTEGER) AS helpful_vote,
+       list_extract([true, true, false, true, NULL, false], doc_id % 6 + 1) AS verified_purchase
+FROM documents WHERE doc_id % 10 <> 7""",
+    "raw_line_counts": """
+SELECT count(*) AS source_lines, count(*) FILTER (doc_id % 10 = 7) AS undecodable FROM documents""",
+    "reviews_csv_roundtrip": """
+SELECT CAST(doc_id AS VARCHAR) AS review_id, coalesce(text, '') AS text,
+       list_extract([4.0::DOUBLE, 3.0, 5.0, 1.0], doc_id % 4 + 1) AS rating,
+       CAST(list_extract([3, 3, 0, 0], doc_id % 4 + 1) AS INTEGER) AS helpful_votes,
+       list_extract([true, true, false, true], doc_id % 4 + 1) AS verified_purchase,
+       list_extract(['2020-02-29 12:00:01', '2020-02-29 12:00:01', '2020-02-29 00:00:00', NULL], doc_id % 4 + 1)
+         AS date_dt FROM documents""",
+    "place_payload_mixed_types": """
+SELECT 'm' || conv_id || '_' || turn AS place_id, r.text, r.stars,
+       CASE WHEN turn % 3 = 2 THEN 'Unknown Place' ELSE 'Place' END AS product,
+       CASE WHEN turn % 3 < 2 THEN 4.5::DOUBLE END AS rating, CAST(7 AS INTEGER) AS user_rating_count
+FROM conversations, unnest([{'text': 'plain ' || turn, 'stars': 5.0::DOUBLE},
+                            {'text': 'original ' || turn, 'stars': 4.0::DOUBLE},
+                            {'text': 'object ' || turn, 'stars': 3.0::DOUBLE}]) AS u(r)""",
     "dataset_summary": f"WITH {PROCESSED}, {distribution('e')} {DISTRIBUTION_ENTRIES}",
     "batch_csv_source": "SELECT CAST(quality AS VARCHAR) AS text FROM documents JOIN labels "
                         "USING (doc_id) WHERE quality IS NOT NULL",
@@ -493,7 +516,7 @@ FROM (SELECT event_id, list_extract([200, 403, 404, 429, 500], event_id % 5 + 1)
       FROM events)""",
     "prediction_log": f"""WITH {LINES},
 lg AS (SELECT doc_id || '_' || line_no AS review_id, sentiment, confidence FROM ln WHERE NOT is_blank)
-SELECT {hashed('pred_', 'review_id', "'linearsvc'")} AS prediction_id, review_id, sentiment,
+SELECT {hashed('pred_', 'review_id', "'linearsvc'", "'2024-01-01 00:00:00.000000'")} AS prediction_id, review_id, sentiment,
        confidence, 'linearsvc' AS model_requested, 'linearsvc' AS model_used FROM lg""",
     "metrics_read": f"""WITH {judged()}, {STORED_METRICS}
 SELECT * REPLACE (coalesce(macro_precision, precision) AS macro_precision,

@@ -56,10 +56,37 @@ def dataset_summary(spark, sf):
     return store.distribution_entries(etl.processed_reviews(ad.raw_reviews(spark, sf)))
 
 
+@query
+def raw_jsonl_roundtrip(spark, sf):
+    """Lines with fields of other types, and some that do not decode, through the real reader."""
+    path = work_dir(spark, "raw-lines")
+    ad.mistyped_lines(spark, sf).write.text(path)
+    missing = F.lit(-1)
+    return readers.read_raw_reviews(spark, path).select(
+        "asin", "rating", "text", F.coalesce("timestamp", missing.cast("long")).alias("timestamp"),
+        F.coalesce("helpful_vote", missing).alias("helpful_vote"), "verified_purchase")
+
+
+@query
+def raw_line_counts(spark, sf):
+    return readers.line_counts(ad.mistyped_lines(spark, sf))
+
+
+@query
+def reviews_csv_roundtrip(spark, sf):
+    path = work_dir(spark, "reviews-csv")
+    (ad.csv_reviews(spark, sf).write.option("header", True).option("escape", '"').csv(path))
+    loaded = readers.load_reviews(spark, path, fmt="csv")
+    return loaded.select("review_id", "text", "rating", "helpful_votes", "verified_purchase",
+                         F.date_format("date_dt", "yyyy-MM-dd HH:mm:ss").alias("date_dt"))
+
+
 @query
 def batch_csv_source(spark, sf):
     docs = ad.table(spark, sf, "documents").join(ad.table(spark, sf, "labels"), "doc_id", "left")
-    return readers.uploaded_batch(docs, "quality")
+    path = work_dir(spark, "batch-csv")
+    docs.select("doc_id", "quality").write.option("header", True).csv(path)
+    return readers.read_batch_csv(spark, path, "quality")
 
 
 @query
@@ -83,6 +110,14 @@ def place_payload_flatten(spark, sf):
                        F.col("review.publishTime").alias("publish_time"))
 
 
+@query
+def place_payload_mixed_types(spark, sf):
+    """Payloads whose fields have other types, plain texts and empty text objects."""
+    places = readers.place_details(ad.mixed_payloads(spark, sf))
+    reviews = readers.unified_place_reviews(places).select("place_id", "text", "product", F.col("rating").alias("stars"))
+    return reviews.join(places.select("place_id", "rating", "user_rating_count"), "place_id")
+
+
 @query
 def place_search_flatten(spark, sf):
     return readers.place_search(ad.search_payloads(spark, sf)).select(
@@ -655,14 +690,13 @@ def model_routing(spark, sf):
 def explain_tokens(spark, sf):
     docs = ad.table(spark, sf, "documents").select("doc_id", "text")
     coefs = _coefficients(spark, sf)
-    return _pct(attribution.explain_tokens(docs, coefs, "doc_id", known_only=True), "diff")
+    return _pct(attribution.explain_tokens(docs, coefs, "doc_id"), "diff")
 
 
 @query
 def explain_top_words(spark, sf):
     docs = ad.table(spark, sf, "documents").select("doc_id", "text")
-    tokens = attribution.explain_tokens(docs, _coefficients(spark, sf), "doc_id",
-                                        known_only=True)
+    tokens = attribution.explain_tokens(docs, _coefficients(spark, sf), "doc_id")
     return _pct(attribution.top_words(tokens.withColumn("diff", F.round("diff", 6)), "doc_id"),
                 "score")
 
@@ -826,8 +860,5 @@ def stream_windowed_ratio(spark, sf):
         "window_start", F.date_format("window_start", "yyyy-MM-dd"))
     folder = work_dir(spark, "stream-ratio")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
-
-    live.replace_with(ratio, write, f"{folder}/state").awaitTermination()
-    return spark.read.schema(ratio.schema).parquet(f"{folder}/rows")
+    live.update_windows(ratio, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return live.latest_windows(spark, f"{folder}/rows", ratio.schema)

@@ -14,18 +14,72 @@ PLACE_SOURCE = "google_places_api"
 UNKNOWN_PLACE = "Unknown Place"
 ANONYMOUS_AUTHOR = "Anonymous Google Reviewer"
 SEARCH_LIMIT = 10
+DATE_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]",
+                "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd HH:mm")
 # ------------------------------------------------------------ end fixed values
 
 _BAD = "_bad"
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, with a value that is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _as_text(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+
+
+def _typed(raw: Column, kind: T.DataType) -> Column:
+    """The JSON text of one value as ``kind``; null where it can't be read as that.
+
+    An object of a single text field may also be a plain string.
+    """
+    if isinstance(kind, T.StringType):
+        return raw
+    if isinstance(kind, T.BooleanType):
+        return raw.try_cast("boolean")
+    if isinstance(kind, T.IntegralType):
+        name = kind.simpleString()
+        return F.coalesce(raw.try_cast(name), raw.try_cast("double").try_cast(name))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.from_json(raw, T.ArrayType(T.StringType())), lambda e: _typed(e, kind.elementType))
+    if isinstance(kind, T.StructType):
+        def fields(parsed: Column) -> Column:
+            found = F.struct(*[_typed(parsed[f.name], f.dataType).alias(f.name) for f in kind])
+            is_object = F.ltrim(raw).startswith("{")
+            if len(kind) == 1 and isinstance(kind[0].dataType, T.StringType):
+                return F.when(is_object, found).when(raw.isNotNull(), F.struct(raw.alias(kind[0].name)))
+            return F.when(is_object, found)
+        return _bound(F.from_json(raw, _as_text(kind)), fields)
+    return raw.try_cast(kind.simpleString())
+
+
+def decode_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+    """Parse a JSON text column; every row stays, with ``decoded`` false where it is no JSON object.
+
+    Values are read as text first and converted one by one: a field of another type
+    (a number in quotes, a whole float for an integer) is converted, or null if that
+    can't be done, and never costs the record its other fields.
+    """
+    wide = T.StructType([*_as_text(schema), T.StructField(_BAD, T.StringType())])
+    parsed = F.from_json(F.col(column), wide, {"columnNameOfCorruptRecord": _BAD})
+    kept = df.withColumn("_r", parsed)
+    good = F.col("_r").isNotNull() & F.col(f"_r.{_BAD}").isNull() & F.ltrim(F.col(column)).startswith("{")
+    return (kept.select("*", good.alias("decoded"),
+                        *[_typed(F.col(f"_r.{f.name}"), f.dataType).alias(f.name) for f in schema]).drop("_r"))
+
+
 def parse_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
     """Parse a JSON text column; rows that do not decode are skipped."""
-    wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    parsed = F.from_json(F.col(column), wide, {"columnNameOfCorruptRecord": _BAD})
-    return (df.withColumn("_r", parsed).filter(F.col("_r").isNotNull() & F.col(f"_r.{_BAD}").isNull())
-            .select("*", *[F.col(f"_r.{f.name}").alias(f.name) for f in schema])
-            .drop("_r"))
+    return decode_json(df, column, schema).filter("decoded").drop("decoded")
+
+
+def line_counts(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``source_lines, undecodable``: all lines of a JSON-lines source, and those without a record."""
+    decoded = decode_json(lines.select(column), column, T.StructType([]))
+    return decoded.agg(F.count(F.lit(1)).alias("source_lines"),
+                       F.count_if(~F.coalesce("decoded", F.lit(False))).alias("undecodable"))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -67,21 +121,23 @@ def apply_review_defaults(df: DataFrame) -> DataFrame:
     values = {
         "text": text("text", ""), "title": text("title", ""),
         "rating": F.coalesce(text("rating", None).try_cast("double"), F.lit(5.0)),
-        "helpful_votes": F.coalesce(text("helpful_votes", None).try_cast("int"), F.lit(0)),
+        "helpful_votes": F.coalesce(text("helpful_votes", None).try_cast("double").try_cast("int"), F.lit(0)),
         "verified_purchase": F.coalesce(text("verified_purchase", None).try_cast("boolean"),
                                         F.lit(False)),
         "product": text("product", "Unknown"),
         "sentiment": F.lower(text("sentiment", "neutral")),
         "date_dt": F.coalesce(*[F.try_to_timestamp(text("date", None), F.lit(f))
-                                for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")]),
+                                for f in DATE_LAYOUTS]),
     }
     return df.withColumns(values)
 
 
 def load_reviews(spark: SparkSession, path: str, sample_limit: int | None = None,
-                 order: str = "review_id") -> DataFrame:
-    """Processed reviews from CSV or Parquet with defaults applied."""
-    if path.rstrip("/").endswith(".parquet"):
+                 order: str = "review_id", fmt: str = "parquet") -> DataFrame:
+    """Processed reviews from Parquet or CSV, as ``fmt`` says, with defaults applied."""
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"unknown format {fmt}")
+    if fmt == "parquet":
         df = spark.read.schema(REVIEW).parquet(path)
     else:
         df = (spark.read.schema(REVIEW_CSV).option("header", True).option("multiLine", True)
@@ -133,8 +189,9 @@ def unified_place_reviews(places: DataFrame) -> DataFrame:
     def filled(path: str, default: str) -> Column:
         return F.coalesce(F.col(f"review.{path}"), F.lit(default))
 
-    # the first text object that exists is used, even when its text is empty
-    body = F.when(r["text"].isNotNull(), r["text"]["text"]).otherwise(r["originalText"]["text"])
+    # the first text object with a text is used, even when that is empty; an object
+    # without any counts as missing
+    body = F.when(r["text"]["text"].isNotNull(), r["text"]["text"]).otherwise(r["originalText"]["text"])
     when = F.coalesce(F.nullif(F.col("review.relativePublishTimeDescription"), F.lit("")),
                       F.col("review.publishTime"), F.lit(""))
     flat = flatten_place_reviews(places).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,8 +26,14 @@ def write_summary(reviews: DataFrame, path: str, funnel: DataFrame | None = None
     store.bundle(entries).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_audit_of(df: DataFrame, path: str, products: list[str]) -> None:
+    """The audit rows of chosen products as CSV."""
+    (analytics.product_audit(df.filter(F.col("product").isin(*products))).write.mode("overwrite")
+     .option("header", True).option("escape", '"').csv(path))
+
+
 def write_product_audit(df: DataFrame, path: str) -> None:
-    """One folder of CSV files per product.
+    """One folder of CSV files per product; for catalogues of some thousand products.
 
     The rebalance hint gathers small products and splits a hot one over several
     tasks, so a product with a third of all rows is not one giant file.
@@ -40,9 +47,27 @@ def write_scored_batch(df: DataFrame, path: str) -> None:
      .option("header", True).option("escape", '"').csv(path))
 
 
+def _append_new(rows: DataFrame, path: str, key: str) -> None:
+    """Append the rows whose key the table does not hold yet; a retried batch adds nothing."""
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates([key])
+    try:
+        held = spark.read.schema(rows.schema).parquet(path).select(key)
+        rows = rows.join(held, key, "left_anti")
+    except AnalysisException as missing:  # the first batch makes the table
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    rows.write.mode("append").parquet(path)
+
+
 def append_log(scored: DataFrame, path: str) -> None:
-    """Append prediction log rows: one write per batch."""
-    store.prediction_rows(scored).write.mode("append").parquet(path)
+    """Append prediction log rows that are not there yet: one write per batch."""
+    _append_new(store.prediction_rows(scored), path, "prediction_id")
+
+
+def append_reviews(reviews: DataFrame, path: str) -> None:
+    """Append the reviews of a batch that are not stored yet."""
+    _append_new(store.stored_review_rows(reviews), path, "review_id")
 
 
 def upsert_metrics(spark: SparkSession, stored_path: str, incoming: DataFrame,

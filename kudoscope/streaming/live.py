@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -55,8 +54,22 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             .trigger(availableNow=True).start())
 
 
-def replace_with(stream: DataFrame, write: Callable[[DataFrame, int], None],
-                 checkpoint: str) -> StreamingQuery:
-    """Complete-mode output handed to ``write`` per micro-batch."""
-    return (stream.writeStream.outputMode("complete").foreachBatch(write)
+def update_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Changed windows of each micro-batch, in a folder of the batch's own.
+
+    State ends behind the watermark. A batch that is run again overwrites its own
+    folder, so readers never miss a table and never count a batch twice.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (stream.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_windows(spark: SparkSession, path: str, schema: T.StructType,
+                   key: str = "window_start") -> DataFrame:
+    """The newest state of every window that ``update_windows`` wrote."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*schema.names), "batch").alias("_row"))
+    return newest.select("_row.*")

@@ -81,7 +81,7 @@ def test_etl_with_sampling_and_sinks(spark, raw, tmp_path):
     sinks.write_reviews(out, f"{tmp_path}/table.csv", "csv")
     sinks.write_summary(out, f"{tmp_path}/summary", etl.funnel(raw))
     for path in ("table.parquet", "table.csv"):
-        back = readers.load_reviews(spark, f"{tmp_path}/{path}")
+        back = readers.load_reviews(spark, f"{tmp_path}/{path}", fmt=path.split(".")[1])
         assert rows(back.select("review_id", "text", "rating", "verified_purchase")) == rows(
             out.select("review_id", "text", "rating", "verified_purchase"))
     assert readers.load_reviews(spark, f"{tmp_path}/table.parquet", 1).count() == 1
@@ -95,7 +95,7 @@ def test_loader_defaults(spark, tmp_path):
         "verified_purchase,sentiment,source,clean_text\n"
         "a,\"two\nlines, \"\"quoted\"\"\",,bad,,,,2020-05-05 14:08:48,x,True,Positive,s,c\n"
         "b,,,4.0,P,,,not a date,7,,,s,c\n", encoding="utf-8")
-    a, b = readers.load_reviews(spark, str(tmp_path / "r.csv")).orderBy("review_id").collect()
+    a, b = readers.load_reviews(spark, str(tmp_path / "r.csv"), fmt="csv").orderBy("review_id").collect()
     assert (a["text"], a["rating"], a["product"], a["helpful_votes"], a["verified_purchase"],
             a["sentiment"]) == ('two\nlines, "quoted"', 5.0, "Unknown", 0, True, "positive")
     assert str(a["date_dt"]) == "2020-05-05 14:08:48"

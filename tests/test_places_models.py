@@ -194,6 +194,22 @@ def test_mmr_against_brute_force(spark, diversity):
 def test_keyphrases(spark, corpus, split):
     got = keyphrases.keyphrases_by_sentiment(split, 3)
     assert dict(rows(got.groupBy("sentiment").count())) == {c: 3 for c in LABELS}
+    # the same, however many tasks read the texts
+    assert rows(keyphrases.keyphrases_by_sentiment(split.repartition(3), 3)) == rows(got)
+
+
+def test_no_word_is_left_out(spark):
+    words = [f"w{i}" for i in range(12_000)]
+    texts = [(LABELS[i % 3], " ".join(words[i:i + 4])) for i in range(0, 12_000, 4)]
+    df = spark.createDataFrame(texts, "sentiment string, clean_text string")
+    tokens = df.select(F.split("clean_text", " ").alias("words"))
+    assert keyphrases.word_vectors(tokens, 8).count() == 12_000
+
+
+def test_vectors_of_another_length_are_refused(spark):
+    df = spark.createDataFrame([("a", 1, [1.0, 2.0, 3.0])], "g string, id int, v array<double>")
+    with pytest.raises(Exception, match="vectors of 2 numbers"):
+        keyphrases.similarity_to_centre(df, "g", "v", 2).collect()
 
 
 PAYLOAD = {"id": "p1", "displayName": {"text": "Cafe"}, "rating": 4.5, "reviews": [
@@ -251,11 +267,19 @@ def test_batch_sources_and_exports(spark, artifacts, tmp_path):
     sinks.write_scored_batch(scored, f"{tmp_path}/out")
     assert spark.read.csv(f"{tmp_path}/out", header=True).count() == 2
     log = scored.withColumns({"review_id": F.xxhash64("text").cast("string"), "model_requested": F.lit("x"),
-                              "timestamp": F.current_timestamp()})
-    for _ in range(2):
+                              "timestamp": F.lit("2024-01-01 00:00:00").cast("timestamp"),
+                              "product": F.lit("P")})
+    for _ in range(2):  # a retried batch adds nothing
         sinks.append_log(log, f"{tmp_path}/log")
+        sinks.append_reviews(log, f"{tmp_path}/reviews")
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/reviews").count() == 2
+    later = log.withColumn("timestamp", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    sinks.append_log(later, f"{tmp_path}/log")
+    sinks.append_reviews(later, f"{tmp_path}/reviews")
     again = spark.read.parquet(f"{tmp_path}/log")
-    assert again.count() == 4 and again.select("prediction_id").distinct().count() == 2
+    assert again.count() == 4 and again.select("prediction_id").distinct().count() == 4
+    assert spark.read.parquet(f"{tmp_path}/reviews").count() == 2
     products = spark.createDataFrame(
         [("A", 1.0, "negative", True, "t", "x\ny"), ("B", 5.0, "positive", False, "", 'q"')],
         "product string, rating double, sentiment string, verified_purchase boolean, title string, "

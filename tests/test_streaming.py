@@ -69,13 +69,16 @@ def test_windows_and_late_rows(spark, tmp_path):
     assert run() == closed                      # a row older than the watermark is dropped
 
 
-def test_complete_mode_keeps_open_windows(spark, tmp_path):
+def test_update_mode_keeps_open_windows(spark, tmp_path):
     land(spark, tmp_path / "in", "a", [("a", "positive", at(1)), ("d", "negative", at(9))], LOG)
     schema = spark.createDataFrame([], LOG).schema
     ratio = live.windowed_ratio_stream(live.file_stream(spark, f"{tmp_path}/in/*", schema))
 
-    def write(batch, _):
-        batch.write.mode("overwrite").parquet(f"{tmp_path}/out")
+    def run():
+        live.update_windows(ratio, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        got = live.latest_windows(spark, f"{tmp_path}/out", ratio.schema)
+        return rows(got.select(F.dayofmonth("window_start"), "total"))
 
-    live.replace_with(ratio, write, f"{tmp_path}/state").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    assert run() == [(1, 1), (9, 1)]
+    land(spark, tmp_path / "in", "b", [("e", "positive", at(9))], LOG)
+    assert run() == [(1, 1), (9, 2)]
