@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kudoscope.functions.columns import compute_once
 from kudoscope.llm import common
 from kudoscope.session import discard, materialise
 
@@ -99,15 +100,17 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame
     windows are judged on the input. Equal passages inside one document, or in rows that
     share a doc_id, stay. A row with null doc_id is no smaller or larger than any and
     stays whole. Null and blank texts have no words. Rows that repeat give as many rows;
-    other columns are kept, whatever their names.
+    other columns stay, except those that bear the three names, which are replaced.
     """
+    docs = docs.drop("words", "kept", "removed")
     starts = repeated_windows(docs, window, **options)
     starts = starts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "starts")
-    own = docs.withColumns({"_w": common.words(F.col("text"))})
     runs = F.transform(_runs(F.col("starts"), window), lambda r: F.struct(
         r["first"].alias("first"), (r["last"] + window - 1).alias("last")))
-    joined = (own.join(starts, (own["doc_id"] == F.col("_id"))
-                       & (common.text_key(own["text"]) == F.col("_key")), "left")
+    # whole texts travel, and become words where they arrive
+    met = docs.join(starts, (docs["doc_id"] == F.col("_id"))
+                    & (common.text_key(docs["text"]) == F.col("_key")), "left")
+    joined = (compute_once(met, _w=common.words(F.col("text")))
               .withColumn("removed", F.coalesce(runs, F.array().cast("array<struct<first:int,last:int>>"))))
     n = F.size("removed")
     edges = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(

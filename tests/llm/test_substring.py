@@ -47,7 +47,7 @@ def test_given_table(docs):
 
 
 def test_odd_rows(odd, none):
-    check(odd.drop("words"))
+    check(odd)
     assert substring.strip_repeats(none).collect() == []
 
 
