@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kudoscope.llm import common
 
 SAMPLE_ROWS = 20_000   # about so many labelled rows are fitted on, drawn by a hash of doc_id
-FEATURES = 3_000       # features kept, by how far their rows depart from the base rate
+FEATURES = 3_000       # features kept, by how far their rows lie above the base rate
 MIN_ROWS = 8           # labelled rows that must hold a feature
 LEVELS = 3             # a token counts once, twice, three times or more
 PREFIXES = (4, 5, 6, 7)
-RIDGE = 0.5
+RIDGE = 0.25
 STEPS = 400
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 200_000
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     rate = base[1] / base[0]
     excess = (F.col("harm") - F.col("rows") * rate) / F.sqrt(F.col("rows") * rate * (1 - rate))
     chosen = (_feature_counts(sample).filter(F.col("rows") >= MIN_ROWS)
-              .orderBy(F.abs(excess).desc(), "feature").limit(n_features).select("feature").toPandas()["feature"])
+              .orderBy(excess.desc(), "feature").limit(n_features).select("feature").toPandas()["feature"])
     index = {f: i for i, f in enumerate(sorted(chosen))}
 
     def design(batches):
@@ -200,9 +200,8 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 def harmless(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not toxic; all their columns."""
-    columns = docs.columns
-    marked = score(docs.select("*"), fit(docs, labels, **options)).filter("not toxic")
-    return marked.select(*columns)
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    return score(rows, fit(docs, labels, **options)).filter("not toxic").select("_row.*")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
