@@ -10,7 +10,6 @@ maxima of their word counts.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter, OrderedDict
 
 import numpy as np
@@ -25,8 +24,7 @@ from kudoscope.session import materialise
 
 DRAWS = 64
 SEED = 11
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_TERMS = 30_000  # terms whose variates a task keeps, twice
+_TERMS = 60_000  # words whose variates a task keeps
 _BLOCK = 4096    # terms of a text evaluated at once
 
 
@@ -38,66 +36,78 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Fingerprints of texts; variates of recent words are kept in two generations."""
+    """Fingerprints of texts; the variates of words are kept while there is room.
+
+    With r, c ~ gamma(2, 1) and beta uniform, a word of weight S is sampled at level
+    t = floor(ln S / r + beta) with ln a = ln c - r (t - beta) - r. At weight 1 the level
+    is 0, so ln c + r beta - r is kept for each word and most words need no more.
+    """
 
     def __init__(self, draws: int = DRAWS, seed: int = SEED):
         self.draws, self.seed = draws, seed
-        steps = np.arange(1, 3 * draws + 1, dtype=np.uint64).reshape(3, draws)
+        steps = np.arange(1, 2 * draws + 1, dtype=np.uint64).reshape(2, draws)
         self.steps = steps * np.uint64(0x9E3779B97F4A7C15)
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _variates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the rows r, ln c, beta; and the hashes of the words."""
-        h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), self.seed) for w in words],
-                     dtype=np.uint64)
+        self.place: dict[bytes, int] = {}
+        room = (_TERMS, draws)
+        self.base, self.r, self.beta = (np.empty(room, dtype=np.float32) for _ in range(3))
+        self.hashes = np.empty(_TERMS, dtype=np.uint64)
+
+    def variates(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """r, ln c, beta and the hash of each word; two 64-bit hashes a draw give five numbers."""
+        h = np.array([xxhash.xxh64_intdigest(w, self.seed) for w in words], dtype=np.uint64)
         bits = _mixed(h[:, None, None] + self.steps)
-        first = ((bits >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2 ** -24)
-        second = (((bits >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2 ** -24)
-        out = np.empty((len(words), 3, self.draws), dtype=np.float32)
-        out[:, 0] = -np.log(first[:, 0] * second[:, 0])          # gamma(2, 1)
-        out[:, 1] = np.log(-np.log(first[:, 1] * second[:, 1]))  # ln of gamma(2, 1)
-        out[:, 2] = first[:, 2]
-        return out, h
-
-    def _lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        missing = [w for w in words if w not in self.young and w not in self.old]
-        made = {}
+        unit, half, low = np.float32(2 ** -24), np.float32(0.5), np.uint64(0xFFFFFF)
+        first = ((bits >> np.uint64(40)).astype(np.float32) + half) * unit
+        second = (((bits >> np.uint64(16)) & low).astype(np.float32) + half) * unit
+        log_product = np.log(first * second)
+        rest = (bits[:, 0] & np.uint64(0xFFFF)) << np.uint64(8) | (bits[:, 1] & np.uint64(0xFF))
+        beta = (rest.astype(np.float32) + half) * unit
+        return -log_product[:, 0], np.log(-log_product[:, 1]), beta, h
+
+    def _rows(self, words: list[bytes]) -> np.ndarray:
+        """Where the variates of the words stand; makes those that are not there."""
+        found = list(map(self.place.get, words))
+        missing = [w for w, i in zip(words, found) if i is None]
         if missing:
-            values, hashes = self._variates(missing)
-            made = dict(zip(missing, zip(values, hashes.tolist())))
-        if len(self.young) + len(words) > _TERMS:
-            self.old, self.young = self.young, {}
-        rows = []
-        for w in words:
-            row = self.young.get(w) or self.old.get(w) or made.get(w)
-            if row is None:  # it went with the older generation just now
-                values, hashes = self._variates([w])
-                row = (values[0], int(hashes[0]))
-            self.young[w] = row
-            rows.append(row)
-        return np.array([v for v, _ in rows]), np.array([h for _, h in rows], dtype=np.uint64)
+            if len(self.place) + len(missing) > len(self.hashes):
+                self.place, missing = {}, words
+            at = len(self.place)
+            rows = slice(at, at + len(missing))
+            r, log_c, beta, self.hashes[rows] = self.variates(missing)
+            self.base[rows], self.r[rows], self.beta[rows] = log_c + r * (beta - 1), r, beta
+            self.place.update(zip(missing, range(at, at + len(missing))))
+            found = list(map(self.place.get, words))
+        return np.array(found, dtype=np.int64)
 
     def signature(self, text: str | None) -> np.ndarray:
         """K samples of 16 bits; empty for a text without words."""
-        counts = Counter(_WORD.findall(text or ""))
+        # bytes are split at tab to carriage return and space, which is the word rule
+        counts = Counter(text.encode("utf-8", "surrogatepass").split()) if text else {}
         if not counts:
             return np.empty(0, np.uint16)
-        words = sorted(counts)  # ties between samples fall the same way every time
+        words = list(counts) if len(counts) <= _BLOCK else sorted(counts)
         best = np.full(self.draws, np.inf, np.float32)
         sample = np.zeros(self.draws, np.uint64)
         column = np.arange(self.draws)
         for at in range(0, len(words), _BLOCK):
             part = words[at:at + _BLOCK]
-            values, hashes = self._lookup(part)
-            r, log_c, beta = values[:, 0], values[:, 1], values[:, 2]
-            weight = np.log(np.array([counts[w] for w in part], dtype=np.float32))[:, None]
-            level = np.floor(weight / r + beta)
-            log_a = log_c - r * (level - beta + np.float32(1))
+            rows = self._rows(part)
+            order = self.hashes[rows].argsort()  # ties between samples fall the same way every time
+            rows, n = rows[order], np.array([counts[w] for w in part], dtype=np.float32)[order]
+            log_a = self.base[rows]
+            many = np.flatnonzero(n > 1)
+            level = np.zeros((len(many) + 1, self.draws), np.float32)  # the last row is for words of weight 1
+            if len(many):
+                r = self.r[rows[many]]
+                level[:-1] = np.floor(np.log(n[many])[:, None] / r + self.beta[rows[many]])
+                log_a[many] -= r * level[:-1]
             low = log_a.argmin(axis=0)
+            where = np.full(len(rows), len(many))
+            where[many] = np.arange(len(many))
+            steps = level[where[low], column].astype(np.int64).astype(np.uint64)
+            code = self.hashes[rows[low]] + steps * np.uint64(0x9E3779B97F4A7C15)
             value = log_a[low, column]
             better = value < best
-            code = hashes[low] + level[low, column].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             best = np.where(better, value, best)
             sample = np.where(better, code, sample)
         return (_mixed(sample) >> np.uint64(48)).astype(np.uint16)
