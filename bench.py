@@ -12,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from kudoscope.plans.queries import QUERIES
@@ -36,7 +37,9 @@ def main() -> None:
     only = set(sys.argv[1:])
     spark = build_session("kudoscope-bench", f"local[{cpus}]", {
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        # written tables and checkpoints; nothing in it is needed after the run
+        "spark.checkpoint.dir": os.environ.get("BENCH_SHARED", tempfile.mkdtemp(prefix="bench-"))})
     spark.sparkContext.setLogLevel("ERROR")
 
     def timed(name: str) -> float:

@@ -6,6 +6,8 @@ works on the small result afterwards; windows only ever see aggregated rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kudoscope.functions import labels, text as tx
@@ -21,6 +23,18 @@ URGENT_ISSUE_TERMS = ("reaction", "delay", "broken")
 CRITICAL_ISSUE_TERMS = ("reaction", "rash", "burn", "delay", "broken", "leaked", "damage")
 TIERS = ((35, "AVOID"), (55, "MIXED"), (80, "BUY"))
 TOP_TIER = "TOP TIER"
+NARRATIVES = {
+    "two_concerns": "{a1} ({s1}) and {a2} ({s2})",
+    "one_concern": "{a1}, accounting for {s1} of negative reviews (primarily {i1})",
+    "praise": "Customer sentiment is exclusively favorable across {total} reviews ({positive} positive, "
+              "{neutral} neutral) with zero negative complaints recorded in the dataset.",
+    "mostly_good": "Customer sentiment is predominantly positive ({positive}). Negative feedback ({negative}, "
+                   "{negative_count} reviews) is most concentrated around {phrase}.",
+    "friction": "Negative feedback represents a substantial share ({negative}, {negative_count} reviews) for this "
+                "product. Friction is primarily concentrated in {phrase}.",
+    "balanced": "Customer feedback reflects a balanced distribution across {total} reviews ({positive} positive, "
+                "{neutral} neutral, {negative} negative). Negative feedback is most concentrated in {phrase}.",
+}
 # ------------------------------------------------------------ end fixed values
 
 
@@ -277,37 +291,20 @@ def product_narrative(kpis: DataFrame, complaints: DataFrame) -> DataFrame:
     def number(c: str) -> Column:
         return F.format_number(c, 0)
 
-    phrase = F.when(
-        F.col("s2") >= 15,
-        F.concat(F.col("a1"), F.lit(" ("), pct("s1"), F.lit(") and "), F.col("a2"), F.lit(" ("),
-                 pct("s2"), F.lit(")")),
-    ).otherwise(F.concat(F.col("a1"), F.lit(", accounting for "), pct("s1"),
-                         F.lit(" of negative reviews (primarily "), F.col("i1"), F.lit(")")))
-    praise = F.concat(
-        F.lit("Customer sentiment is exclusively favorable across "), number("total"),
-        F.lit(" reviews ("), pct("positive_pct"), F.lit(" positive, "), pct("neutral_pct"),
-        F.lit(" neutral) with zero negative complaints recorded in the dataset."))
-    mostly_good = F.concat(
-        F.lit("Customer sentiment is predominantly positive ("), pct("positive_pct"),
-        F.lit("). Negative feedback ("), pct("negative_pct"), F.lit(", "),
-        number("negative_count"), F.lit(" reviews) is most concentrated around "),
-        F.col("phrase"), F.lit("."))
-    friction = F.concat(
-        F.lit("Negative feedback represents a substantial share ("), pct("negative_pct"),
-        F.lit(", "), number("negative_count"),
-        F.lit(" reviews) for this product. Friction is primarily concentrated in "),
-        F.col("phrase"), F.lit("."))
-    balanced = F.concat(
-        F.lit("Customer feedback reflects a balanced distribution across "), number("total"),
-        F.lit(" reviews ("), pct("positive_pct"), F.lit(" positive, "), pct("neutral_pct"),
-        F.lit(" neutral, "), pct("negative_pct"),
-        F.lit(" negative). Negative feedback is most concentrated in "), F.col("phrase"),
-        F.lit("."))
+    values = {"a1": F.col("a1"), "s1": pct("s1"), "i1": F.col("i1"), "a2": F.col("a2"), "s2": pct("s2"),
+              "total": number("total"), "negative_count": number("negative_count"), "phrase": F.col("phrase"),
+              **{c: pct(f"{c}_pct") for c in LABELS}}
+
+    def filled(name: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", NARRATIVES[name])
+        return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+    phrase = F.when(F.col("s2") >= 15, filled("two_concerns")).otherwise(filled("one_concern"))
     return (kpis.join(top, "product", "left").withColumn("phrase", phrase)
-            .select("product", F.when(F.col("negative_count") == 0, praise)
-                    .when(F.col("positive_pct") >= 70, mostly_good)
-                    .when(F.col("negative_pct") >= 30, friction)
-                    .otherwise(balanced).alias("narrative")))
+            .select("product", F.when(F.col("negative_count") == 0, filled("praise"))
+                    .when(F.col("positive_pct") >= 70, filled("mostly_good"))
+                    .when(F.col("negative_pct") >= 30, filled("friction"))
+                    .otherwise(filled("balanced")).alias("narrative")))
 
 
 def product_audit(df: DataFrame) -> DataFrame:

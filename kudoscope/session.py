@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,11 +39,11 @@ def build_session(app_name: str = "kudoscope", master: str | None = None,
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Only a session of one process may fall back to a temporary folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="kudoscope-")
     return f"{base.rstrip('/')}/kudoscope/{name}-{uuid.uuid4().hex}"
