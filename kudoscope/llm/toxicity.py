@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     # sorted, so that the fit doesn't depend on the order in which tasks end
     matrix = sorted((r.grade, tuple(r.held)) for r in
-                    sample.mapInPandas(design, "grade int, held array<int>").toLocalIterator())
+                    sample.mapInPandas(design, "grade int, held array<int>").collect())
     y = np.array([g for g, _ in matrix])
     rows = np.repeat(np.arange(len(matrix)), [len(h) for _, h in matrix])
     cols = np.array([c for _, h in matrix for c in h], dtype=np.int64)
