@@ -166,18 +166,20 @@ def _entropies(rows: DataFrame, what: str) -> DataFrame:
 
     A value on n of a node's m pages has entropy log_m(n); the mean over the distinct
     values says how much of the content is shared. The entropy of the values' own
-    distribution says how much the pages differ. Counts come first, by value and then
-    by node, so a host with a third of all pages is added up before it is shuffled.
+    distribution says how much the pages differ. Both are made from sums over the
+    values, so a host with a third of all pages is added up before it is shuffled, and
+    only one row per node meets the number of its pages.
     """
     pages = (rows.groupBy("host", "node").agg(F.countDistinct("page").alias("pages"))
              .filter(F.col("pages") >= MIN_PAGES))
-    counts = rows.groupBy("host", "node", what).agg(F.count(F.lit(1)).alias("n"))
-    joined = counts.join(pages, ["host", "node"])
+    counts = rows.groupBy("host", "node", what).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sums = counts.groupBy("host", "node").agg(
+        F.avg(F.log("n")).alias("mean_log"), F.sum("n").alias("total"),
+        F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
     base = F.log(F.col("pages").cast("double"))
-    share = F.col("n") / F.col("pages")
-    return joined.groupBy("host", "node").agg(
-        F.avg(F.log(F.col("n").cast("double")) / base).alias("shared"),
-        F.sum(-share * F.log(share) / base).alias("varied"))
+    return sums.join(pages, ["host", "node"]).select(
+        "host", "node", (F.col("mean_log") / base).alias("shared"),
+        ((F.col("total") - F.col("n_log_n") / base) / F.col("pages")).alias("varied"))
 
 
 def importances(parsed: DataFrame) -> DataFrame:
