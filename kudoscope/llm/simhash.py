@@ -176,14 +176,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
             .select("doc_id", "text_key", "fp", "component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None, **options) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id; all its columns.
 
     Of rows that repeat one stays, and so does one of several texts under that id. Rows
-    that go are named by a narrow table, and texts move only to meet it.
+    that go are named by a narrow table, and texts move only to meet it. ``found`` gives
+    components made elsewhere, with ``doc_id, text_key, component_id``.
     """
     key = common.text_key(docs["text"])
-    found = near_duplicates(docs, **options)
+    found = near_duplicates(docs, **options) if found is None else found
     chosen = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
               .groupBy("component_id", F.col("doc_id").alias("_id")).agg(F.min("text_key").alias("_key")))
     chosen = materialise(chosen.select("_id", "_key"), "simhash-kept")
