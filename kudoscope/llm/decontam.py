@@ -1,20 +1,23 @@
-"""Benchmark decontamination with spaced seeds.
+"""Benchmark decontamination with seeds that no allowed substitution set can spoil.
 
-A seed hashes only some words of a window, so a substituted word spoils the seeds
-that look at it and leaves the others. Equal seeds of a document and an item give an
-alignment of the two; the words of the whole item are then compared along it.
+Equal seeds of a document and an item give an alignment of the two; the words of the
+whole item are then compared along it. Of n words with k changed, some ceil((n - k) /
+(k + 1)) in a row are unchanged: four words or more for most lengths at 80 %, so four
+words in a row are the seed. Items of 10, 11 or 15 words may be left with three; they
+are cut into k + 2 groups, and each choice of two groups is a seed.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kudoscope.llm import common
 from kudoscope.session import materialise
 
-# Word offsets that each seed looks at.
-MASKS = ((0, 1, 3, 5, 8, 9), (0, 2, 3, 4, 7, 9), (0, 1, 2, 6, 7, 8))
-SPAN = 10
+RUN = 4             # words in a row that are a seed
+TOLERANT = 10       # words from which an item may have words changed; shorter ones count as a whole
 MIN_WORDS = 5       # shorter items are no evidence and are left out
 MIN_OVERLAP = 0.8   # share of an item's words, or of a stretch's
 STRETCH = 20        # words of a long item that count as a passage of their own
@@ -26,15 +29,42 @@ def plain_words(text: Column) -> Column:
     return common.words(bare)
 
 
+def masks_of(n: int, min_overlap: float = MIN_OVERLAP) -> list[tuple[int, ...]]:
+    """Word offsets of the seeds of an item of ``n`` words.
+
+    Every set of words that may be changed leaves one of them whole at some position.
+    """
+    def allowed(size: int) -> int:
+        return sum(1 for k in range(1, size + 1) if (size - k) / size >= min_overlap)
+
+    def run(size: int) -> int:
+        return -(-(size - allowed(size)) // (allowed(size) + 1))
+
+    if n < TOLERANT:
+        return [tuple(range(n))]
+    least = min(run(n), run(STRETCH) if n > STRETCH else n)
+    changed = allowed(n)
+    if least >= RUN or changed > 3:
+        return [tuple(range(max(1, min(least, RUN))))]
+    groups = changed + 2
+    cuts = [n * g // groups for g in range(groups + 1)]
+    return [tuple(o for g in kept for o in range(cuts[g], cuts[g + 1])) for kept in combinations(range(groups), 2)]
+
+
 def _seeds(df: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
-    """``keep`` plus ``words, position, mask, seed`` for every window of ``words`` that fits."""
-    shortest = min(m[-1] for m in masks)
+    """``keep`` plus ``words, position, mask, seed`` for every position whose window starts in ``words``.
+
+    The offsets of a mask count from its first; ``position`` is that of the first word.
+    """
     n = F.size("words")
 
     def seed(mask: tuple[int, ...]) -> Column:
-        value = F.xxhash64(*[F.get("words", F.col("position") + o) for o in mask])
-        return value if mask[-1] == shortest else F.when(F.col("position") + mask[-1] < n, value)
+        value = F.xxhash64(*[F.get("words", F.col("position") + (o - mask[0])) for o in mask])
+        return F.when(F.col("position") + (mask[-1] - mask[0]) < n, value)
 
+    if not masks:
+        masks = [(0,)]
+    shortest = min(m[-1] - m[0] for m in masks)
     spots = F.when(n > shortest, F.sequence(F.lit(0), n - shortest - 1))
     return (df.select(*keep, "words", F.explode(spots).alias("position"))
             .select(*keep, "words", "position",
@@ -55,24 +85,28 @@ def _equal_words(shift: Column) -> Column:
         F.when((shift + i >= 0) & (F.get("words", shift + i) == w), 1), F.lit(0)))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, masks=MASKS,
-                  min_overlap: float = MIN_OVERLAP) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """Pairs ``doc_id, text_key, item_id, overlap, stretch`` of documents that hold an item.
 
     A pair counts if, along one alignment, at least ``min_overlap`` of the item's words
     are equal, or of one stretch of 20 words in a longer item. Null or empty texts hold
     nothing; rows that repeat give one pair; empty tables give an empty result; columns
-    beyond doc_id, text and item_id, text are not read. Items shorter than a mask get a
-    contiguous seed of their own length. The seeds of the benchmark are broadcast only
+    beyond doc_id, text and item_id, text are not read. Items of 5 to 9 words count only
+    where all their words stand in a row. The seeds of the benchmark are broadcast only
     when counted to be few; otherwise both joins are shuffled on narrow rows.
     """
     items = materialise(item_table(benchmark), "decontam-items")
-    short = sorted(r[0] for r in items.filter(F.col("n_item") < SPAN).select("n_item").distinct().collect())
-    masks = [*masks, *[tuple(range(n)) for n in short]]
+    lengths = [r[0] for r in items.select("n_item").distinct().collect()]
+    of_length: dict[tuple[int, ...], list[int]] = {}
+    for n in sorted(lengths):
+        for mask in masks_of(n, min_overlap):
+            of_length.setdefault(tuple(o - mask[0] for o in mask), []).append(n)
+    masks = list(of_length)
     wide = items.withColumnRenamed("item_words", "words")
-    seeds = (_seeds(wide, ["item_id", "n_item"], masks)
-             .filter((F.col("n_item") >= SPAN) & (F.col("mask") < len(MASKS))
-                     | (F.col("n_item") < SPAN) & (F.col("mask") >= len(MASKS)))
+    fits = F.lit(False)
+    for at, mask in enumerate(masks):
+        fits = fits | (F.col("mask") == at) & F.col("n_item").isin(of_length[mask])
+    seeds = (_seeds(wide, ["item_id", "n_item"], masks).filter(fits)
              .select("item_id", F.col("position").alias("item_position"), "mask", "seed").distinct())
     seeds = materialise(seeds, "decontam-seeds")
     worded = docs.select("doc_id", common.text_key(F.col("text")).alias("text_key"),

@@ -1,5 +1,6 @@
 """Decontamination against a brute-force comparison of every alignment."""
 
+import itertools
 import random
 import re
 
@@ -95,3 +96,24 @@ def test_no_python_on_the_main_path(spark, planted):
     docs, items, _ = planted
     plan = decontam.contamination(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_allowed_substitutions_spoil_all_seeds():
+    for n in range(decontam.TOLERANT, 26):
+        windows = [{p + o - m[0] for o in m} for m in decontam.masks_of(n) for p in range(n - (m[-1] - m[0]))]
+        assert all(any(not w & set(gone) for w in windows) for gone in itertools.combinations(range(n), n // 5)), n
+
+
+def test_changed_words_of_short_items(spark):
+    rng, items, held = random.Random(6), [], []
+    for n in range(10, 26):
+        items.append((n, " ".join(f"i{n}w{k}" for k in range(n))))
+        for _ in range(20):
+            piece = [f"i{n}w{k}" for k in range(n)]
+            for k in rng.sample(range(n), n // 5):
+                piece[k] = "zz"
+            held.append((len(held), f"a b {' '.join(piece)} c"))
+    items, frame = (spark.createDataFrame(items, "item_id long, text string"),
+                    spark.createDataFrame(held, "doc_id long, text string"))
+    want = brute(held, [tuple(r) for r in items.collect()])
+    assert len(want) == len(held) and found(frame, items) == want
