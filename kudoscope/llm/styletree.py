@@ -27,6 +27,7 @@ MIN_PAGES = 3      # pages a node needs before its entropies count
 NOT_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video select button "
                      "textarea datalist head title".split())
 FURNITURE = frozenset("nav aside form footer menu dialog".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head".split())
 ARTICLE = frozenset(("article", "main"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp "
                    "small span strike strong sub sup time tt u var wbr br".split())
@@ -77,7 +78,14 @@ class _Reader(HTMLParser):
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
         return any(n in MARKED for n in _NAME.findall(names))
 
+    def _end_head(self) -> None:
+        """Close a head left open; what may not stand in it begins the body."""
+        if self.stack[-1][0] == "head":
+            self._close(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in EMPTY:
             if tag not in INLINE:
                 self._flush()
@@ -132,6 +140,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not self.mute:
             self.parts.append(data)
             if self.links:

@@ -50,6 +50,9 @@ def test_an_article_among_furniture(spark):
     ("<article>" + "<div>" * 3000 + "deep", "deep"), ("<article><p>" + "word " * 50_000, ("word " * 50_000).strip()),
     ("<article><p>&zzz; &amp &#x41;</p>", "&zzz; & A"), ("<style>p{}</style><script>x</script>", ""),
     ("<p hidden>a</p><p style='display: none'>b</p><p>c</p>", "c"),
+    ("<html><head><title>t</title><body><p>text", "text"), ("<head><meta charset=x><title>t</title><p>a<p>b", "a\n\nb"),
+    ("<head><script>x</script>text", "text"), ("<head><title>t</title><style>p{}</style> <img src=x><b>a</b>", "a"),
+    ("<head><title>t</title>\n</head><body><p>a", "a"),
 ])
 def test_odd_pages(spark, html, want):
     assert texts(spark, [("http://a.org/1", html)]) == [want]
