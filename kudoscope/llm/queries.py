@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kudoscope.llm.alignment import op12_token_alignment
 from kudoscope.llm.chat import op2_preference_format
 from kudoscope.llm.decontam import op7_decontamination
 from kudoscope.llm.langid import op6_langid
@@ -23,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_preference_format, op3_pii, op4_substring_dedup, op5_main_text, op6_langid,
         op7_decontamination, op8_simhash, op9_toxicity, op10_weighted_sampling, op11_embedding_dedup,
-        op13_hard_negatives)}
+        op12_token_alignment, op13_hard_negatives)}
 
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": r"""
