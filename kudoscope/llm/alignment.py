@@ -23,9 +23,11 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
@@ -36,11 +38,11 @@ from kudoscope.session import materialise
 FOLDER = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
-TOGETHER = 100          # segments encoded in one go
+TOGETHER = 200          # segments encoded in one go
 REMEMBERED = 400_000    # segments a worker remembers
-_SLICE = 2_000_000      # characters of text worked on at a time
+_SLICE = 2_000_000      # bytes of text worked on at a time
 _SPACE = "▁"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT, _RUN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -70,6 +72,7 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace(_SPACE, " ").encode()
                         for i, p in enumerate(names)]
         self.long_a, self.long_b = (np.array([len(x) for x in v]) for v in (self.bytes_a, self.bytes_b))
+        self.names = [str(i) for i in range(max(size, len(names)))]
         self.pairs = self._possible_pairs()
         split = spec.get("pre_tokenizer") or {}
         self.by_word = (not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True)
@@ -96,18 +99,37 @@ class Aligner:
         self.n_a, self.n_b = array("q"), array("q")     # -1 where the tokens don't give back the bytes
         self.groups: list[str] = []
         self.linked, self.until = array("i"), array("q", [0])
-        self.ends: list[list[int]] = []
+        self.used = np.zeros(0, dtype=np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the segments that were used most, half of those there is room for."""
+        names, groups = list(self.number), self.groups
+        n_a, n_b, until = (np.array(x) for x in (self.n_a, self.n_b, self.until))
+        linked = np.array(self.linked, dtype=np.int32)
+        kept = np.argsort(-self.used, kind="stable")[:REMEMBERED // 2]
+        self.forget()
+        longs = until[kept + 1] - until[kept]
+        total = np.concatenate([[0], np.cumsum(longs)])
+        self.linked = array("i", linked[np.repeat(until[kept] - total[:-1], longs) + np.arange(total[-1])].tobytes())
+        self.until = array("q", total.tobytes())
+        self.n_a, self.n_b = array("q", n_a[kept].tobytes()), array("q", n_b[kept].tobytes())
+        self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.groups = [groups[k] for k in kept.tolist()]
 
     def segments(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.by_word else [text]
+        if not self.by_word:
+            return [text]
+        if text[0].isspace() or text[-1].isspace() or _RUN.search(text):
+            return _CUT.split(text)
+        return text.split(" ")      # the same, where all white space stands alone
 
     def learn(self, segments: list[str]) -> None:
         """Align segments that are not remembered yet."""
-        plain = [s for s in segments if self.by_word and not s[0].isspace() and not s[-1].isspace() and _SPACE not in s]
-        held = set(plain)
+        plain, alone = [], []
         for s in segments:
-            if s not in held:
-                self._align([s])
+            (plain if self.by_word and s.strip() == s and _SPACE not in s else alone).append(s)
+        for s in alone:
+            self._align([s])
         for at in range(0, len(plain), TOGETHER):
             self._align(plain[at:at + TOGETHER])
 
@@ -116,61 +138,77 @@ class Aligner:
         raw = text.encode()
         token_a = self.a.encode(text, add_special_tokens=False)
         token_b = self.b.encode(text[1:], return_type="offset_mapping")
-        ids_a, ids_b = np.array(token_a.ids, dtype=np.int64), np.array(token_b["ids"], dtype=np.int64)
-        same = (b"".join([self.bytes_a[i] for i in ids_a]) == raw == b"".join([self.bytes_b[i] for i in ids_b]))
-        if not same and len(segments) > 1:
-            for s in segments:
-                self._align([s])
-            return
-        if not same:
-            self._remember(segments[0], -1, -1, "", [], [])
+        list_a, list_b = token_a.ids, token_b["ids"]
+        if not (b"".join([self.bytes_a[i] for i in list_a]) == raw == b"".join([self.bytes_b[i] for i in list_b])):
+            if len(segments) > 1:
+                for s in segments:
+                    self._align([s])
+            else:
+                self._remember(segments, [-1], [-1], [""], [], [0])
             return
+        ids_a, ids_b = np.array(list_a, dtype=np.int64), np.array(list_b, dtype=np.int64)
         # where each character ends, in bytes
         if len(raw) == len(text):
             upto = np.arange(len(text) + 1)
         else:
             points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
             upto = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
-        offsets = np.array(token_a.offsets, dtype=np.int64).reshape(-1, 2)
-        within = np.append(offsets[1:, 0] < offsets[:-1, 1], False)     # the next token goes on in this character
-        ends_a = np.where(within, np.cumsum(self.long_a[ids_a]), upto[offsets[:, 1]])
-        spans = np.array(token_b["offsets"], dtype=np.int64).reshape(-1, 2)
+        offsets = np.fromiter(chain.from_iterable(token_a.offsets), dtype=np.int64, count=2 * len(ids_a))
+        start, end = offsets[::2], offsets[1::2]
+        within = np.append(start[1:] < end[:-1], False)     # the next token goes on in this character
+        ends_a = np.where(within, np.cumsum(self.long_a[ids_a]), upto[end])
+        spans = np.fromiter(chain.from_iterable(token_b["offsets"]), dtype=np.int64, count=2 * len(ids_b))
         # the text that sentencepiece sees lacks the first space, which it adds itself
-        ends_b = np.where(self.is_byte[ids_b], np.cumsum(self.long_b[ids_b]), upto[spans[:, 1] + 1])
-        common_ends, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        ends_b = np.where(self.is_byte[ids_b], np.cumsum(self.long_b[ids_b]), upto[spans[1::2] + 1])
+        both, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         pairs = np.searchsorted(self.pairs, ids_a[at_a] * len(self.bytes_b) + ids_b[at_b])
-        name_a, name_b = [str(i) for i in token_a.ids], [str(i) for i in token_b["ids"]]
-        cut_a, cut_b = (at_a + 1).tolist(), (at_b + 1).tolist()
-        groups = [",".join(name_a[i:j]) + "|" + ",".join(name_b[k:m])
-                  for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
-        last = np.cumsum([len(s.encode()) + 1 for s in segments])
-        group = [0, *np.searchsorted(common_ends, last, side="right").tolist()]
-        starts = [0, *last.tolist()]
-        cut_a, cut_b = [0, *cut_a], [0, *cut_b]
-        for k, s in enumerate(segments):
-            i, j = group[k], group[k + 1]
-            self._remember(s, cut_a[j] - cut_a[i], cut_b[j] - cut_b[i], ";".join(groups[i:j]), pairs[i:j].tolist(),
-                           (common_ends[i:j] - starts[k]).tolist())
-
-    def _remember(self, segment, n_a, n_b, groups, pairs, ends) -> None:
-        self.number[segment] = len(self.n_a)
-        self.n_a.append(n_a)
-        self.n_b.append(n_b)
-        self.groups.append(groups)
-        self.linked.extend(pairs)
-        self.until.append(len(self.linked))
-        self.ends.append(ends)
-
-    def documents(self, texts: list[str | None], with_ends: bool) -> list[pa.Array]:
-        """``n_a, n_b, groups, links`` of each text, and ``ends`` if asked for."""
+        name_a, name_b = [self.names[i] for i in list_a], [self.names[i] for i in list_b]
+        cut_a, cut_b = np.concatenate([[0], at_a + 1]), np.concatenate([[0], at_b + 1])
+        list_a, list_b = cut_a.tolist(), cut_b.tolist()
+        groups = [f"{name_a[i]}|{name_b[k]}" if j - i == m - k == 1 else
+                  f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}"
+                  for i, j, k, m in zip(list_a, list_a[1:], list_b, list_b[1:])]
+        sizes = [len(s) + 1 for s in segments] if len(raw) == len(text) else [len(s.encode()) + 1 for s in segments]
+        cut = np.concatenate([[0], np.searchsorted(both, np.cumsum(sizes), side="right")])
+        edges = cut.tolist()
+        self._remember(segments, np.diff(cut_a[cut]), np.diff(cut_b[cut]),
+                       [";".join(groups[i:j]) for i, j in zip(edges, edges[1:])], pairs, cut[1:])
+
+    def _remember(self, segments, n_a, n_b, groups, pairs, upto) -> None:
+        """``pairs`` of all segments, those of each up to its number in ``upto``."""
+        first, links = len(self.n_a), self.until[-1]
+        self.number.update(zip(segments, range(first, first + len(segments))))
+        self.n_a.frombytes(np.asarray(n_a, dtype=np.int64).tobytes())
+        self.n_b.frombytes(np.asarray(n_b, dtype=np.int64).tobytes())
+        self.groups += groups
+        self.linked.frombytes(np.asarray(pairs, dtype=np.int32).tobytes())
+        self.until.frombytes((np.asarray(upto, dtype=np.int64) + links).tobytes())
+
+    def ends(self, groups: str) -> list[int]:
+        """Bytes up to the end of each group."""
+        found, at = [], 0
+        for group in groups.split(";") if groups else ():
+            at += sum(len(self.bytes_a[int(i)]) for i in group.partition("|")[0].split(","))
+            found.append(at)
+        return found
+
+    def documents(self, texts: list[str | None]) -> list[pa.Array]:
+        """``n_a, n_b, groups, links`` of each text."""
         if len(self.number) > REMEMBERED:
-            self.forget()
+            self.forget_rare()
         cut = [self.segments(t) if t else [] for t in texts]
         flat = [s for c in cut for s in c]
-        self.learn(list(dict.fromkeys(s for s in flat if s not in self.number)))
-        numbers = [self.number[s] for s in flat]
+        numbers = list(map(self.number.get, flat))
+        new = [k for k, n in enumerate(numbers) if n is None]
+        if new:
+            self.learn(list(dict.fromkeys(flat[k] for k in new)))
+            for k in new:
+                numbers[k] = self.number[flat[k]]
         codes, size = np.array(numbers, dtype=np.int64), np.array([len(c) for c in cut])
         upto = np.concatenate([[0], np.cumsum(size)])
+        uses = np.bincount(codes, minlength=len(self.groups))
+        uses[:len(self.used)] += self.used
+        self.used = uses
 
         def sums(values: np.ndarray) -> np.ndarray:
             running = np.concatenate([[0], np.cumsum(values)])
@@ -184,20 +222,10 @@ class Aligner:
         total = np.concatenate([[0], np.cumsum(longs)])
         places = np.repeat(until[codes] - total[:-1], longs) + np.arange(total[-1])
         links = np.array(self.linked, dtype=np.int32)[places]
-        stops = codes.tolist()
-        joined = [";".join([self.groups[c] for c in stops[i:j]]) for i, j in zip(upto[:-1], upto[1:])]
-        out = [pa.array(sums(n_a[codes])), pa.array(sums(n_b[codes])), pa.array(joined, pa.string()),
-               pa.ListArray.from_arrays(pa.array(total[upto].astype(np.int32)), pa.array(links))]
-        if with_ends:
-            ends = []
-            for t, c, ok in zip(texts, cut, fine):
-                at, found = 0, []
-                for s in c if ok else ():
-                    found += [at + e for e in self.ends[self.number[s]]]
-                    at += len(s.encode()) + 1
-                ends.append(found)
-            out.append(pa.array(ends, pa.list_(pa.int64())))
-        return out
+        said = list(map(self.groups.__getitem__, numbers if fine.all() else codes.tolist()))
+        joined = [";".join(said[i:j]) for i, j in zip(upto[:-1].tolist(), upto[1:].tolist())]
+        return [pa.array(sums(n_a[codes])), pa.array(sums(n_b[codes])), pa.array(joined, pa.string()),
+                pa.ListArray.from_arrays(pa.array(total[upto].astype(np.int32)), pa.array(links))]
 
 
 @lru_cache(maxsize=2)
@@ -237,15 +265,15 @@ def align(docs: DataFrame, tokenizers: Tokenizers, with_ends: bool = False) -> D
     def aligned(batches):
         aligner = shared.value.aligner()
         for batch in batches:
-            texts, at = batch.column("text").to_pylist(), 0
-            while at < len(texts):
-                size, upto = 0, at
-                while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= _SLICE):
-                    size += len(texts[upto] or "")
-                    upto += 1
-                columns = aligner.documents(texts[at:upto], with_ends)
-                ids = batch.column("doc_id").slice(at, upto - at)
-                yield pa.RecordBatch.from_arrays([ids, *columns], names)
+            text = batch.column("text")
+            before = np.concatenate([[0], np.cumsum(pc.binary_length(text).fill_null(0).to_numpy())])
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(before, before[at] + _SLICE, side="right")) - 1)
+                columns = aligner.documents(text.slice(at, upto - at).to_pylist())
+                if with_ends:
+                    columns.append(pa.array([aligner.ends(g) for g in columns[2].to_pylist()], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, upto - at), *columns], names)
                 at = upto
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -280,13 +308,15 @@ def link_scores(aligned: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     def scored(batches):
         count, best = shared.value
         for batch in batches:
-            links = batch.column(at)
-            pairs = links.flatten().to_numpy(zero_copy_only=False)
-            edges = np.concatenate([[0], np.cumsum(np.diff(links.offsets.to_numpy()))])
-            sums = [np.concatenate([[0], np.cumsum(v[pairs])]) for v in (best, count)]
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                columns + [pa.array((s[edges[1:]] - s[edges[:-1]]).astype(np.int64)) for s in sums], names)
+            for row in range(0, batch.num_rows, 256):
+                some = batch.slice(row, 256)
+                links = some.column(at)
+                pairs = links.flatten().to_numpy(zero_copy_only=False)
+                edges = np.concatenate([[0], np.cumsum(np.diff(links.offsets.to_numpy()))])
+                sums = [np.concatenate([[0], np.cumsum(v[pairs])]) for v in (best, count)]
+                columns = [c for i, c in enumerate(some.columns) if i != at]
+                yield pa.RecordBatch.from_arrays(
+                    columns + [pa.array((s[edges[1:]] - s[edges[:-1]]).astype(np.int64)) for s in sums], names)
 
     kept = [f for f in aligned.schema if f.name != "links"]
     names = [*[f.name for f in kept], "n_best", "count_sum"]

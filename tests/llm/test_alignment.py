@@ -88,12 +88,12 @@ def test_odd_rows(spark, odd, none, tokenizers, monkeypatch):
 def test_forgetting_changes_nothing(tokenizers, monkeypatch):
     fresh = alignment.Aligner(tokenizers.byte_bpe, tokenizers.pieces)
     texts = [t for t in TEXTS * 3]
-    want = [c.to_pylist() for c in fresh.documents(texts, True)]
+    want = [c.to_pylist() for c in fresh.documents(texts)]
     monkeypatch.setattr(alignment, "REMEMBERED", 3)
     monkeypatch.setattr(alignment, "TOGETHER", 2)
-    again = [[], [], [], [], []]
+    again = [[], [], [], []]
     for t in texts:
-        for held, c in zip(again, fresh.documents([t], True)):
+        for held, c in zip(again, fresh.documents([t])):
             held += c.to_pylist()
     assert again == want
 
@@ -101,11 +101,11 @@ def test_forgetting_changes_nothing(tokenizers, monkeypatch):
 def test_whole_texts_where_words_are_not_apart(tokenizers):
     """A tokenizer that may join across spaces gets whole texts, with the same result here."""
     fresh = alignment.Aligner(tokenizers.byte_bpe, tokenizers.pieces)
-    apart = [c.to_pylist() for c in fresh.documents(TEXTS, False)]
+    apart = [c.to_pylist() for c in fresh.documents(TEXTS)]
     assert fresh.by_word
     fresh.by_word = False
     fresh.forget()
-    assert [c.to_pylist() for c in fresh.documents(TEXTS, False)] == apart
+    assert [c.to_pylist() for c in fresh.documents(TEXTS)] == apart
 
 
 def test_linked_tokens_are_suffixes(tokenizers):
