@@ -137,12 +137,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MI
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item; all their columns."""
+    """The rows of ``docs`` that hold no item; all their columns, whatever their names.
+
+    Null and empty texts hold nothing and stay; rows that repeat stay or go together.
+    """
     found = contamination(docs, benchmark, **options).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
     found = materialise(found, "decontam-found")
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id"))
-                     & (common.text_key(docs["text"]) == F.col("_key")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", common.text_key(F.col("text")).alias("text_key"))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")),
+                     "left_anti").select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

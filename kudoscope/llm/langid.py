@@ -8,11 +8,11 @@ cosine wins.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kudoscope.llm import common
@@ -21,7 +21,7 @@ DIMENSIONS = 512
 SEED = 7
 FOLDS = 5              # documents of fold 0 are held out
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _CACHE = 40_000        # trigram vectors a task keeps
 _BASE = 0x110000
 

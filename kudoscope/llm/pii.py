@@ -253,8 +253,8 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     null texts stay as they are; all columns and rows stay.
     """
     found = find(docs, **options).filter(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans").dropDuplicates(["_id", "_key"])
-    found = materialise(found.withColumnRenamed("spans", "_spans"), "pii-redact")
+        F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "spans").dropDuplicates(["id", "key"])
+    found = materialise(found, "pii-redact")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -263,16 +263,16 @@ def redact(docs: DataFrame, **options) -> DataFrame:
                                        F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(
+    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(
         acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    columns = docs.columns
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id"))
-                       & (common.text_key(docs["text"]) == F.col("_key")), "left")
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in columns:
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", common.text_key(F.col("text")).alias("text_key"))
+    met = (rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+           .withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(length))
-    return joined.select(*columns)
+        changed["n_chars"] = F.when(F.col("spans").isNull(), F.col("row")["n_chars"]).otherwise(length)
+    return met.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,20 +176,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
             .select("doc_id", "text_key", "fp", "component_id"))
 
 
-def keep_one(docs: DataFrame, found: DataFrame | None = None, **options) -> DataFrame:
+def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id; all its columns.
 
-    Of rows that repeat one stays, and so does one of several texts under that id. Rows
-    that go are named by a narrow table, and texts move only to meet it. ``found`` gives
-    components made elsewhere, with ``doc_id, text_key, component_id``.
+    Of rows that repeat one stays, and so does one of several texts under that id. Null,
+    empty and blank texts are alike, so one of them stays. Rows that go are named by a
+    narrow table, and texts move only to meet it. Columns may bear any names.
     """
-    key = common.text_key(docs["text"])
-    found = near_duplicates(docs, **options) if found is None else found
+    found = near_duplicates(docs, **options)
     chosen = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy("component_id", F.col("doc_id").alias("_id")).agg(F.min("text_key").alias("_key")))
-    chosen = materialise(chosen.select("_id", "_key"), "simhash-kept")
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_semi")
-    return kept.withColumn("_key", common.text_key(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key")
+              .groupBy("component_id", F.col("doc_id").alias("id")).agg(F.min("text_key").alias("key")))
+    chosen = materialise(chosen.select("id", "key"), "simhash-kept")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", common.text_key(F.col("text")).alias("text_key"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_key"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,20 +104,20 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame
     """
     docs = docs.drop("words", "kept", "removed")
     starts = repeated_windows(docs, window, **options)
-    starts = starts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "starts")
+    starts = starts.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "starts")
     runs = F.transform(_runs(F.col("starts"), window), lambda r: F.struct(
         r["first"].alias("first"), (r["last"] + window - 1).alias("last")))
     # whole texts travel, and become words where they arrive
-    met = docs.join(starts, (docs["doc_id"] == F.col("_id"))
-                    & (common.text_key(docs["text"]) == F.col("_key")), "left")
-    joined = (compute_once(met, _w=common.words(F.col("text")))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", common.text_key(F.col("text")).alias("text_key"))
+    met = rows.join(starts, (F.col("doc_id") == F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    joined = (compute_once(met, words=common.words(F.col("row.text")))
               .withColumn("removed", F.coalesce(runs, F.array().cast("array<struct<first:int,last:int>>"))))
     n = F.size("removed")
     edges = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
         F.when(i == 0, 0).otherwise(F.get("removed", i - 1)["last"] + 1).alias("from"),
-        F.when(i == n, F.size("_w")).otherwise(F.get("removed", i)["first"]).alias("to")))
-    kept = F.flatten(F.transform(edges, lambda e: F.slice("_w", e["from"] + 1, e["to"] - e["from"])))
-    return joined.withColumn("kept", kept).withColumnRenamed("_w", "words").drop("_id", "_key", "starts")
+        F.when(i == n, F.size("words")).otherwise(F.get("removed", i)["first"]).alias("to")))
+    kept = F.flatten(F.transform(edges, lambda e: F.slice("words", e["from"] + 1, e["to"] - e["from"])))
+    return joined.select("row.*", "removed", kept.alias("kept"), "words")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

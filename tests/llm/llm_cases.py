@@ -30,8 +30,9 @@ def odd(spark):
             (6, "one two three four five six seven", "en", "a", 33),
             (7, "single", "fr", "", 6), (None, "a row without an id and some words", "de", "c", 30),
             (8, "Zoë’s naïve 𝒳 text — ünïcode stays", "fr", "c", 30)]
-    frame = spark.createDataFrame([r + (i, "x") for i, r in enumerate(rows)],
-                                  DOCS + ", size int, words string")
+    clash = "size int, words string, _id int, _key string, _spans string, _w int, starts int, id int, key int, row int"
+    frame = spark.createDataFrame([r + (i, "x", i, "k", "s", 1, 2, 3, 4, 5) for i, r in enumerate(rows)],
+                                  f"{DOCS}, {clash}")
     return frame
 
 
