@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kudoscope.llm import common, decontam, mixing, nearcopies, pii, simhash, toxicity as tox
+from kudoscope.llm import common, decontam, mixing, pii, simhash, toxicity as tox
 from kudoscope.session import work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of documents alike in five-word shingles (Jaccard >= 0.8) stays, that with the smallest doc_id."""
-    return simhash.keep_one(docs, nearcopies.components(docs))
+    """One of each SimHash component (three-word shingles, 3 bits) stays, that with the smallest doc_id."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
