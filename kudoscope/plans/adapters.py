@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kudoscope.functions import labels, text as tx
-from kudoscope.operators import etl
+from kudoscope.operators import etl, linear
 from kudoscope.schemas import LABELS, REVIEW
 from kudoscope.sources.readers import spread
 
@@ -267,9 +267,9 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return reviews, predictions
 
 
-def stand_in_coefficients(spark: SparkSession, sf_dir: str, size: int = 10_000) -> DataFrame:
-    """``(class, term, coef)`` that SQL can also compute: log document rate of a word in a
-    class over its log rate overall, for the ``size`` words in most documents."""
+def _term_rates(spark: SparkSession, sf_dir: str, size: int) -> tuple[DataFrame, Column, list[Column]]:
+    """The ``size`` words in most documents with ``term, df``; columns for their idf and
+    coefficients: log document rate of a word in a class over its log rate overall."""
     prepared = etl.preprocess(labelled_texts(spark, sf_dir), "row_order")
     words = (prepared.select("sentiment", F.array_distinct(tx.words(F.col("clean_text"))).alias("w"))
              .select("sentiment", F.explode("w").alias("term")))
@@ -278,8 +278,28 @@ def stand_in_coefficients(spark: SparkSession, sf_dir: str, size: int = 10_000)
              .orderBy(F.col("df").desc(), F.col("term").asc()).limit(size))
     sizes = prepared.agg(F.struct(F.count(F.lit(1)).alias("n"),
                                   *labels.class_counts(F.col("sentiment"))).alias("s")).scalar()
+    overall = F.log((F.col("df") + 1) / (sizes["n"] + 2))
+    coefs = [F.round(F.log((F.col(c) + 1) / (sizes[c] + 2)) - overall, 6) for c in LABELS]
+    return found, F.round(F.log((sizes["n"] + 1) / (F.col("df") + 1)) + 1, 6), coefs
+
+
+def stand_in_coefficients(spark: SparkSession, sf_dir: str, size: int = 10_000) -> DataFrame:
+    """``(class, term, coef)`` that SQL can also compute."""
+    found, _, coefs = _term_rates(spark, sf_dir, size)
     return found.select("term", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("class"), F.round(
-            F.log((F.col(c) + 1) / (sizes[c] + 2))
-            - F.log((F.col("df") + 1) / (sizes["n"] + 2)), 6)
-            .alias("coef")) for c in LABELS]))).select("class", "term", "coef")
+        F.struct(F.lit(c).alias("class"), w.alias("coef")) for c, w in zip(LABELS, coefs)]))
+    ).select("class", "term", "coef")
+
+
+# Stand-in models: name, factor of the coefficients, intercepts by class.
+STAND_INS = (("logistic_regression", 4.0, (0.1, 0.0, -0.1)),
+             ("balanced_logistic_regression", 6.0, (0.0, 0.3, 0.05)),
+             ("linearsvc", 0.5, (-0.25, -0.1, -0.3)))
+
+
+def stand_in_models(spark: SparkSession, sf_dir: str, size: int = 10_000) -> linear.LinearModels:
+    """The stand-in coefficients as three stored models."""
+    found, idf, coefs = _term_rates(spark, sf_dir, size)
+    lines = [F.round(w * factor, 6) for _, factor, _ in STAND_INS for w in coefs]
+    heads = tuple(linear.Head(name, name != "linearsvc", bias) for name, _, bias in STAND_INS)
+    return linear.LinearModels(found.select("term", idf.alias("idf"), F.array(*lines).alias("coefs")), heads)

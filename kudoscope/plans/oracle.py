@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from kudoscope.functions import labels, rules, text as tx
 from kudoscope.operators import analytics, etl
-from kudoscope.plans import adapters as ad
+from kudoscope.plans import adapters as ad, pipelines
 from kudoscope.schemas import LABELS
 from kudoscope.sources import readers
 
@@ -448,6 +448,41 @@ ROUTE = (f"CASE WHEN model_requested IN ({strings(labels.MODELS)}) THEN model_re
 DISPLAY = " ".join(f"WHEN model_name = '{a}' THEN '{b}'" for a, b in labels.MODEL_NAMES.items())
 COSINE = "list_cosine_similarity(embedding::DOUBLE[], centre)"
 
+# The stored models: c0 to c8 are the coefficients of the classes, model by model.
+STORED_MODELS = f"""{COEFS},
+mt AS MATERIALIZED (
+  SELECT term, round(ln((n + 1)::DOUBLE / (df + 1)) + 1, 6) AS idf, {", ".join(
+    f"round(round(ln(({c} + 1)::DOUBLE / (n_{c} + 2)) - ln((df + 1)::DOUBLE / (n + 2)), 6) * {factor}::DOUBLE, 6)"
+    f" AS c{3 * h + k}" for h, (_, factor, _) in enumerate(ad.STAND_INS) for k, c in enumerate(LABELS))}
+  FROM df, sz)"""
+
+
+def scored(base: str, doc: str, cleaned: str | None = None) -> str:
+    """CTEs from table ``base`` to ``sa``: its rows with label l0 to l2 and confidence p0 to p2."""
+    sums = ", ".join(f"sum(w * c{i}) AS s{i}" for i in range(9))
+    own = {h: ", ".join(f"coalesce(s{3 * h + k} / norm, 0) + {b}::DOUBLE" for k, b in enumerate(bias))
+           for h, (_, _, bias) in enumerate(ad.STAND_INS)}
+    labels_ = ", ".join(
+        f"CASE WHEN clean_text = '' THEN 'neutral' ELSE list_extract([{strings(LABELS)}], "
+        f"list_position(m{h}, list_max(m{h}))) END AS l{h}" for h in range(3))
+    shares = ", ".join(
+        (f"CASE WHEN clean_text <> '' THEN round(1 / list_sum(list_transform(m{h}, lambda x: exp(x - list_max(m{h})))), 4) END"
+         if name != "linearsvc" else "NULL::DOUBLE") + f" AS p{h}" for h, (name, _, _) in enumerate(ad.STAND_INS))
+    return f"""sc AS MATERIALIZED (SELECT *{'' if cleaned else f", {clean('text')} AS clean_text"} FROM {base}),
+sg AS (SELECT {doc}, term, count(*) AS tf FROM (
+  SELECT {doc}, unnest({words_of('clean_text')}) AS term FROM (SELECT DISTINCT {doc}, clean_text FROM sc)) GROUP BY ALL),
+sx AS (SELECT {doc}, tf * idf AS w, mt.* FROM sg JOIN mt USING (term)),
+ss AS (SELECT {doc}, sqrt(sum(w * w)) AS norm, {sums} FROM sx GROUP BY {doc}),
+sm AS (SELECT sc.*, {', '.join(f'[{v}] AS m{h}' for h, v in own.items())} FROM sc LEFT JOIN ss USING ({doc})),
+sa AS MATERIALIZED (SELECT * EXCLUDE (m0, m1, m2), {labels_}, {shares} FROM sm)"""
+
+
+BALANCED = "l1 AS sentiment, p1 AS confidence"
+NUMBER = "CASE " + " ".join(f"WHEN model_used = '{name}' THEN {{}}{h}" for h, (name, _, _) in enumerate(ad.STAND_INS)) + " END"
+LINEAR_ROUTE = f"CASE WHEN route = 'distilbert' THEN '{labels.DEFAULT_MODEL}' ELSE route END"
+# from the judged rows j on
+METRICS = judged()[judged().index("pc0 AS ("):]
+
 ORACLE: dict[str, str] = {
     # ------------------------------------------------------------ sources
     "raw_json_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events "
@@ -794,10 +829,38 @@ SELECT label, vec_id, round(sim, 4) AS score, CAST(rank AS INTEGER) AS rank FROM
 WHERE rank <= 10""",
     "etl_pipeline": f"WITH {PROCESSED} SELECT * FROM e",
     # ------------------------------------------------------------ streams
-    "stream_score": f"WITH {T}, st AS (SELECT * REPLACE ({stars_label('rating')} AS sentiment) FROM t), "
-                    f"{intelligence('st')} SELECT row_order, primary_aspect, "
-                    "array_to_string(all_aspects, '|') AS all_aspects, issue, priority, "
-                    "suggested_action FROM intel",
+    "score_stored": f"""WITH {STORED_MODELS}, {T}, tt AS (SELECT review_id, text, rating FROM t), {scored('tt', 'review_id')}
+SELECT *, {mismatch()} AS is_mismatch FROM (
+  SELECT review_id, rating, clean_text, {BALANCED}, '{labels.DEFAULT_MODEL}' AS model_used FROM sa)""",
+    "score_routed": f"""WITH {STORED_MODELS}, {T}, tt AS (
+  SELECT review_id, text, {pick(ad.MODEL_REQUESTS, 'row_order % 7')} AS model_requested FROM t), {scored('tt', 'review_id')},
+ro AS (SELECT *, {LINEAR_ROUTE} AS model_used FROM (SELECT *, {ROUTE} AS route FROM sa))
+SELECT review_id, model_requested, model_used, {NUMBER.format('l', 'l', 'l')} AS sentiment,
+       {NUMBER.format('p', 'p', 'p')} AS confidence FROM ro""",
+    "evaluate_stored": f"""WITH {STORED_MODELS}, pt AS (SELECT review_id, clean_text, sentiment FROM p),
+{scored('pt', 'review_id', 'clean_text')},
+j AS ({' UNION ALL '.join(f"SELECT '{name}' AS model_name, sentiment AS actual, l{h} AS predicted FROM sa"
+                          for h, (name, _, _) in enumerate(ad.STAND_INS))}),
+{METRICS}
+SELECT model_name, accuracy, macro_precision, macro_recall, macro_f1, weighted_f1 FROM m""",
+    "place_analysis_stored": f"""WITH {STORED_MODELS}, {PLACES}, {scored('un', 'review_id')}
+SELECT *, {mismatch()} AS is_mismatch FROM (
+  SELECT sa.* EXCLUDE (text, l0, l1, l2, p0, p1, p2), {BALANCED} FROM sa)""",
+    "place_overview": f"""WITH {STORED_MODELS}, {PLACES}, {scored('un', 'review_id')},
+us AS (SELECT place_id, rating, l1 AS sentiment FROM sa),
+pu AS (SELECT place_id, count(*) AS total_reviews, {", ".join(
+        f"count(*) FILTER (sentiment = '{c}') AS {c}_count, "
+        f"round(count(*) FILTER (sentiment = '{c}') * 100.0::DOUBLE / count(*), 1) AS {c}_pct" for c in LABELS)},
+       count(*) FILTER ({mismatch()}) AS mismatch_count,
+       round(count(*) FILTER ({mismatch()}) * 100.0::DOUBLE / count(*), 1) AS mismatch_pct FROM us GROUP BY place_id)
+SELECT pi.*, {", ".join(f"coalesce({c}, 0) AS {c}" for c in pipelines.PULSE)}
+FROM (SELECT DISTINCT place_id, name, CASE WHEN conv_id % 2 = 0 THEN '1 Main St' ELSE '' END AS address,
+             (3 + conv_id % 3 / 2)::DOUBLE AS overall_rating, conv_id::INTEGER AS user_rating_count, '' AS maps_uri
+      FROM pl) pi LEFT JOIN pu USING (place_id)""",
+    "stream_score": f"""WITH {STORED_MODELS}, {T}, {scored('t', 'review_id')},
+st AS (SELECT * REPLACE (l1 AS sentiment) FROM sa), {intelligence('st')}
+SELECT row_order, sentiment, p1 AS confidence, '{labels.DEFAULT_MODEL}' AS model_used, primary_aspect,
+       array_to_string(all_aspects, '|') AS all_aspects, issue, priority, suggested_action FROM intel""",
     "stream_log_dedup": f"SELECT 'rev_' || event_id AS review_id, {EVENT_SENTIMENT} AS sentiment "
                         "FROM events",
     "stream_windowed_ratio": f"""

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from kudoscope.functions.labels import DEFAULT_MODEL, MODELS
 from kudoscope.operators import analytics, etl, models, splitting
 from kudoscope.operators.vectorise import fit_vectoriser
+from kudoscope.schemas import LABELS
 from kudoscope.session import materialise
 from kudoscope.sources import readers
 
+# Numbers of a pulse; a place without reviews has zeros.
+PULSE = ["total_reviews", *[f"{c}_{what}" for c in LABELS for what in ("count", "pct")], "mismatch_count", "mismatch_pct"]
+
 
 def run_etl(raw: DataFrame, target: int | None = None, total_rows: int | None = None,
             order: str = "row_order") -> DataFrame:
@@ -60,9 +66,20 @@ def train_and_evaluate(df: DataFrame, order: str = "row_order") -> tuple[models.
     return artifacts, models.evaluate_models(split.filter("is_test"), artifacts)
 
 
-def analyse_places(payloads: DataFrame, artifacts: models.Artifacts,
+def analyse_places(payloads: DataFrame, scorer: models.Artifacts | Callable[[DataFrame], DataFrame],
                    model: str = DEFAULT_MODEL, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """Details payloads -> (scored unified reviews, pulse per place)."""
-    unified = readers.unified_place_reviews(readers.place_details(payloads, body))
-    scored = readers.with_mismatch(models.score(unified, artifacts, model).drop("model_used"))
-    return scored, analytics.place_pulse(scored)
+    """Details payloads -> (scored unified reviews, pulse per place with what is known of it).
+
+    ``scorer`` is a set of fitted models, of which ``model`` scores, or a function that adds
+    ``clean_text, sentiment, confidence, model_used``. Of payloads of one place that differ,
+    the greatest rating, address, link and number of ratings hold.
+    """
+    def score(reviews: DataFrame) -> DataFrame:
+        return models.score(reviews, scorer, model) if isinstance(scorer, models.Artifacts) else scorer(reviews)
+
+    places = readers.place_details(payloads, body)
+    scored = readers.with_mismatch(score(readers.unified_place_reviews(places)).drop("model_used"))
+    known = places.groupBy("place_id").agg(
+        F.max("name").alias("name"), F.max("address").alias("address"), F.max("rating").alias("overall_rating"),
+        F.max("user_rating_count").alias("user_rating_count"), F.max("maps_uri").alias("maps_uri"))
+    return scored, known.join(analytics.place_pulse(scored), "place_id", "left").na.fill(0, PULSE)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from kudoscope.functions import labels, rules, text as tx
 from kudoscope.functions.columns import compute_once
 from kudoscope.operators import (analytics, attribution, etl, evaluation, filters, keyphrases,
-                                 models, splitting, store, vectorise)
+                                 linear, models, splitting, store, vectorise)
 from kudoscope.plans import adapters as ad, pipelines
 from kudoscope.schemas import LABELS
 from kudoscope.session import materialise, work_dir
@@ -817,6 +817,48 @@ def place_analysis(spark, sf):
                                     _artifacts(spark, sf, labels.DEFAULT_MODEL))[0]
 
 
+# The same with stored models, whose coefficients SQL can compute too.
+def _stored_models(spark, sf) -> linear.LinearModels:
+    path = work_dir(spark, "linear-models")
+    linear.save(ad.stand_in_models(spark, sf), path)
+    return linear.load(spark, path)
+
+
+@query
+def score_stored(spark, sf):
+    fresh = ad.text_table(ad.table(spark, sf, "documents")).select("review_id", "text", "rating")
+    return readers.with_mismatch(linear.score(fresh, "review_id", _stored_models(spark, sf))).drop("text")
+
+
+@query
+def score_routed(spark, sf):
+    """Each review by the model that its request names, all in one pass."""
+    fresh = ad.text_table(ad.table(spark, sf, "documents")).select(
+        "review_id", "text", ad.pick(ad.MODEL_REQUESTS, F.col("row_order") % 7).alias("model_requested"))
+    return linear.score_routed(fresh, "review_id", _stored_models(spark, sf)).drop("text", "clean_text")
+
+
+@query
+def evaluate_stored(spark, sf):
+    prepared = etl.preprocess(ad.labelled_texts(spark, sf), "row_order")
+    return linear.evaluate(prepared, "review_id", _stored_models(spark, sf)).select(
+        "model_name", "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1")
+
+
+@query
+def place_analysis_stored(spark, sf):
+    stored = _stored_models(spark, sf)
+    return pipelines.analyse_places(
+        ad.place_payloads(spark, sf), lambda r: linear.score(r, "review_id", stored))[0].drop("text")
+
+
+@query
+def place_overview(spark, sf):
+    stored = _stored_models(spark, sf)
+    return pipelines.analyse_places(
+        ad.place_payloads(spark, sf), lambda r: linear.score(r, "review_id", stored))[1]
+
+
 @query
 def etl_pipeline(spark, sf):
     return pipelines.run_etl(ad.raw_reviews(spark, sf))
@@ -836,13 +878,20 @@ def _stream(spark, sf, name: str) -> DataFrame:
 
 @query
 def stream_score(spark, sf):
-    cores = spark.sparkContext.defaultParallelism
-    tagged = live.tag_stream(ad.text_table(_stream(spark, sf, "documents")), cores).select(
-        "row_order", "primary_aspect", F.array_join("all_aspects", "|").alias("all_aspects"),
-        "issue", "priority", "suggested_action")
+    """Arriving reviews scored by the stored models and tagged by the label they got."""
+    stored = _stored_models(spark, sf)
+    columns = ["row_order", "sentiment", "confidence", "model_used", "primary_aspect",
+               F.array_join("all_aspects", "|").alias("all_aspects"), "issue", "priority", "suggested_action"]
+
+    def each(batch: DataFrame) -> DataFrame:
+        return rules.with_intelligence(linear.score(readers.spread(batch), "review_id", stored)).select(*columns)
+
     folder = work_dir(spark, "stream-score")
-    live.append_to(tagged, f"{folder}/rows", f"{folder}/state").awaitTermination()
-    return spark.read.schema(tagged.schema).parquet(f"{folder}/rows")
+    live.append_batches(ad.text_table(_stream(spark, sf, "documents")), f"{folder}/rows", f"{folder}/state",
+                        each).awaitTermination()
+    schema = ("row_order long, sentiment string, confidence double, model_used string, primary_aspect string, "
+              "all_aspects string, issue string, priority string, suggested_action string, batch long")
+    return spark.read.schema(schema).parquet(f"{folder}/rows").drop("batch")
 
 
 @query

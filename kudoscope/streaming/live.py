@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from kudoscope.functions.labels import share_pct
+from kudoscope.functions.labels import DEFAULT_MODEL, share_pct
 from kudoscope.functions.rules import with_intelligence
+from kudoscope.operators import models
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
@@ -27,6 +29,13 @@ def tag_stream(reviews: DataFrame, partitions: int | None = None) -> DataFrame:
     return with_intelligence(reviews.repartition(partitions) if partitions else reviews)
 
 
+def score_stream(reviews: DataFrame, artifacts: models.Artifacts, model: str = DEFAULT_MODEL,
+                 partitions: int | None = None) -> DataFrame:
+    """Arriving reviews scored by fitted pipelines and tagged by the label they got; stateless."""
+    reviews = reviews.repartition(partitions) if partitions else reviews
+    return with_intelligence(models.score(reviews, artifacts, model))
+
+
 def dedup_log_stream(log: DataFrame, key: str = "review_id", stamp: str = "timestamp",
                      delay: str = "1 hour") -> DataFrame:
     """Each key once. State is dropped behind the watermark, so a repeat that comes
@@ -54,6 +63,20 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             .trigger(availableNow=True).start())
 
 
+def append_batches(stream: DataFrame, path: str, checkpoint: str,
+                   each: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Exactly-once append of ``each`` micro-batch, worked on as a table: joins and aggregates
+    in ``each`` see that batch alone and keep no state.
+
+    A batch goes to a folder of its own, which is overwritten if the batch runs again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        each(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (stream.writeStream.outputMode("append").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def update_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Changed windows of each micro-batch, in a folder of the batch's own.
 
