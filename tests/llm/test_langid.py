@@ -31,7 +31,7 @@ def test_odd_rows(spark, odd, none, docs):
     assert langid.identify(none, learned).collect() == []
     nothing = langid.profiles(none)
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
-    digits = spark.createDataFrame([(1, "12 34 --"), (2, "...")], "doc_id long, text string")
+    digits = spark.createDataFrame([(1, "12 34 --"), (2, "..."), (3, "½ ² Ⅳ")], "doc_id long, text string")
     assert {r.lang_pred for r in langid.identify(digits, learned).collect()} == {"und"}
 
 
