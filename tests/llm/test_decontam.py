@@ -117,3 +117,66 @@ def test_changed_words_of_short_items(spark):
                     spark.createDataFrame(held, "doc_id long, text string"))
     want = brute(held, [tuple(r) for r in items.collect()])
     assert len(want) == len(held) and found(frame, items) == want
+
+
+def spoiled(windows, gone, left):
+    """True if ``left`` more words can be changed so that every window holds a changed one."""
+    whole = next((w for w in windows if not w & gone), None)
+    return whole is None or left > 0 and any(spoiled(windows, gone | {o}, left - 1) for o in whole)
+
+
+def test_seeds_have_gaps_and_are_proven():
+    for n in range(decontam.TOLERANT, 40):
+        masks = decontam.masks_of(n)
+        assert all(m[-1] >= len(m) for m in masks)
+        windows = [frozenset(p + o for o in m) for m in masks for p in range(n - m[-1])]
+        assert not spoiled(windows, frozenset(), n // 5), n
+
+
+def test_short_items_against_brute_force(spark):
+    rng, items, texts = random.Random(8), [], []
+    for n in [3, 4, *range(7, 10)]:
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        texts.append((len(texts), " ".join(["a", *words, "b"])))
+        for changed in (1, 2) if n >= decontam.TOLERANT else ():
+            for _ in range(12):
+                piece = list(words)
+                for k in rng.sample(range(n), changed):
+                    piece[k] = "zz"
+                texts.append((len(texts), " ".join(["a", "b", *piece][rng.randrange(3):])))
+    got = found(spark.createDataFrame(texts, "doc_id long, text string"),
+                spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(texts, items)
+    assert got == want and {i for _, i in want} == {3, 4, 7, 8, 9}
+
+
+def test_long_items_against_brute_force(spark):
+    """As many words changed as allowed, crowded into the middle or spread, in items of 26 to 79 words."""
+    rng, items, texts = random.Random(9), [], []
+    for n in (26, 30, 35, 39, 44, 50, 79):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for turn in range(12):
+            changed, piece = n // 5 + turn % 2, list(words)
+            start = rng.randrange(n - changed)
+            for k in range(start, start + changed) if turn % 3 else rng.sample(range(n), changed):
+                piece[k] = "zz"
+            texts.append((len(texts), " ".join(piece)))
+    got = found(spark.createDataFrame(texts, "doc_id long, text string"),
+                spark.createDataFrame(items, "item_id long, text string"))
+    assert got == brute(texts, items) and len(got) >= 70
+
+
+def test_items_that_share_an_id_or_have_none(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (1, "five six seven eight"), (None, "nine ten eleven"),
+                                   (2, "nine ten eleven")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "five six seven eight"), (None, "x nine ten eleven"), (3, "one two three")],
+                                  "doc_id long, text string")
+    assert found(texts, items) == {(1, 1), (None, None), (None, 2)}
+
+
+def test_no_overlap_below_the_proven_one(planted):
+    docs, items, _ = planted
+    with pytest.raises(ValueError):
+        decontam.contamination(docs, items, min_overlap=0.7)
