@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and identifiers found from the contexts they stand in.
 
 The fixed patterns give the base spans and, with them, seed entities. Two words to the
-left or to the right of an identifier are a lexical pattern; patterns and instances
+left or to the right of an identifier are a lexical pattern, and so is one word to the
+left that ends as labels do (``email:``, ``ref=``, ``no.#``). Patterns and instances
 form a graph. A pattern is as good as the share of known instances among those it
-meets, an instance as good as the patterns that meet it; both are scored in turns.
-Patterns that end with high confidence give further spans.
+meets, an instance as good as the patterns that meet it; both are scored in turns. What
+a trusted pattern meets is a seed for others in the turns that follow. Patterns that
+end up trusted give further spans.
 """
 
 from __future__ import annotations
@@ -18,22 +20,23 @@ from kudoscope.llm import common
 from kudoscope.session import materialise
 
 # What is searched for. Repeated groups are possessive: nothing follows
-# them that they could give back, so the matches are those of the plain patterns, in
-# linear time and without recursion.
+# them that they could give back, and a run of characters in which no match starts at
+# the first (or where the last match ended) is not tried again, so the matches are
+# those of the plain patterns, in linear time and without recursion.
 PATTERNS = {
-    "email": "[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
-    "ip": "[0-9]++(?:\\.[0-9]++){3}+",
+    "email": "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
+    "ip": "(?<![0-9])[0-9]++(?:\\.[0-9]++){3}+",
     "card": "[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
 FOUND = "id"          # kind of the spans that the patterns add
-CONTEXT = 64          # code points in which the words of a context are looked for
-MIN_SHAPE = 6         # characters of an identifier
-ROUNDS = 3
+ROUNDS = 4
 PRIOR = 1.0           # unknown instances that every pattern is charged with
-MIN_SEEDS = 3         # known instances a pattern needs
+MIN_SEEDS = 3         # seeds that a trusted pattern meets at least
+MIN_SHARE = 0.5       # share of its instances that are seeds, so that turns alone make no pattern trusted
 MIN_CONFIDENCE = 0.8
+LONG = 200            # code points from which a context is named by its digest, whole words all the same
 _NOT_SPACE, _SPACE = "[^\\x09-\\x0D\\x20]", "[\\x09-\\x0D\\x20]"
 CANDIDATE = f"(?<!{_NOT_SPACE})[^\\x09-\\x0D\\x200-9@]*+[0-9@]{_NOT_SPACE}*+"
 _SPANS = "array<struct<start:int,end:int,match:string>>"
@@ -115,25 +118,32 @@ def _spans(kind: str) -> Column:
         s["end"].alias("end"), s["match"].alias("match")))
 
 
-def _context(gap: Column, left: bool) -> Column:
-    """The two words of a gap next to the identifier, lower-cased; null if it has fewer."""
-    if left:
-        near = F.substring(gap, -CONTEXT, CONTEXT)
-        words = F.regexp_extract(near, f"({_NOT_SPACE}++{_SPACE}++{_NOT_SPACE}++){_SPACE}*+$", 1)
-    else:
-        near = F.substring(gap, 1, CONTEXT)
-        words = F.regexp_extract(near, f"^{_SPACE}*+({_NOT_SPACE}++{_SPACE}++{_NOT_SPACE}++)", 1)
-    plain = F.regexp_replace(F.lower(words), f"{_SPACE}+", " ")
-    return F.when(F.length(plain) > 0, F.concat(F.lit("L " if left else "R "), plain))
+def _contexts(gap: Column, after: Column) -> dict[str, Column]:
+    """Patterns of a word between two gaps: the two words before it, the label before it, the two words after it.
+
+    Lower-cased whole words; null where the gap has fewer or its last word is no label.
+    The words before are read backwards, so that no place in a gap is looked at twice.
+    """
+    two = f"^{_SPACE}*+({_NOT_SPACE}++{_SPACE}++{_NOT_SPACE}++)"
+    back = F.reverse(gap)
+
+    def named(side: str, words: Column) -> Column:
+        plain = F.regexp_replace(F.lower(words), f"{_SPACE}+", " ")
+        short = F.when(F.length(plain) >= LONG, F.sha2(plain, 256)).otherwise(plain)
+        return F.when(F.length(plain) > 0, F.concat(F.lit(side), short))
+
+    return {"before": named("L ", F.reverse(F.regexp_extract(back, two, 1))),
+            "label": named("W ", F.reverse(F.regexp_extract(back, f"^{_SPACE}*+([:=#]{_NOT_SPACE}*+)", 1))),
+            "after": named("R ", F.regexp_extract(after, two, 1))}
 
 
 def _occurrences() -> Column:
-    """Words that hold a digit or an at sign, each with its place and its two contexts."""
+    """Words that hold a digit or an at sign, each with its place and its contexts."""
     gaps = F.col("_cand_gaps")
     located = _offsets(F.col("_cand"), gaps)
     return F.transform(located, lambda s, i: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
-        _context(F.get(gaps, i), True).alias("before"), _context(F.get(gaps, i + 1), False).alias("after")))
+        *[c.alias(n) for n, c in _contexts(F.get(gaps, i), F.get(gaps, i + 1)).items()]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -150,14 +160,14 @@ def occurrences(scanned: DataFrame) -> DataFrame:
 
     A word at which a base span starts stands for that span and is known; a word
     inside a span is no occurrence. Others keep what is between their first and last
-    letter, digit or at sign, and are left out if that is too short. Words and spans
-    are met by sorting both along each text.
+    letter, digit or at sign, and are left out if there is no letter or digit. Words
+    and spans are met by sorting both along each text.
     """
     text = ["doc_id", "text_key"]
     span = F.struct("start", "end", "match")
     spans = (scanned.select(*text, F.explode("base").alias("s")).select(*text, "s.start", "s.end", "s.match")
-             .withColumns({"before": F.lit(None).cast("string"), "after": F.lit(None).cast("string"),
-                           "is_span": F.lit(1), "span": span}))
+             .withColumns({c: F.lit(None).cast("string") for c in ("before", "label", "after")})
+             .withColumns({"is_span": F.lit(1), "span": span}))
     words = (scanned.select(*text, F.explode("words").alias("w")).select(*text, "w.*")
              .withColumns({"is_span": F.lit(0), "span": F.lit(None).cast("struct<start:int,end:int,match:string>")}))
     # at one place the word comes before the span, from either end
@@ -173,42 +183,49 @@ def occurrences(scanned: DataFrame) -> DataFrame:
            .withColumns({"known": F.coalesce(F.col("opens.start") < F.col("end"), F.lit(False)),
                          "core": core, "from": F.col("start") + lead})
            .filter(F.col("known") | (F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))
-                                     & (F.length("core") >= MIN_SHAPE))))
+                                     & F.col("core").rlike("[\\p{L}\\p{N}]"))))
     one_word = F.col("opens.end") <= F.col("end")
-    contexts = F.array_compact(F.array("before", F.when(~F.col("known") | one_word, F.col("after"))))
+    contexts = F.array_compact(F.array("before", "label", F.when(~F.col("known") | one_word, F.col("after"))))
     return met.select(
         *text, F.col("from").alias("start"), (F.col("from") + F.length("core")).alias("end"),
         F.when(F.col("known"), F.col("opens.match")).otherwise(F.col("core")).alias("instance"),
         "known", F.explode(contexts).alias("pattern"))
 
 
-def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, confidence, seeds`` after some turns of scoring patterns and instances.
+def score_patterns(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE,
+                   min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """``pattern, confidence, seeds, trusted`` after some turns of scoring patterns and instances.
 
     Edges are distinct before the first turn, so repeats and copies weigh nothing. A
     pattern's confidence is the mean score of its instances, with PRIOR unknown ones
-    added; an unknown instance scores ``1 - prod(1 - confidence)`` over its patterns.
-    Each turn is two aggregates and two joins on the edge table, whose heavy keys Spark
-    splits; nothing is gathered per pattern.
+    added; an unknown instance scores ``1 - prod(1 - confidence)`` over its patterns
+    that met a seed. Seeds are the known instances and those that a trusted pattern met
+    in an earlier turn; a pattern is trusted if its confidence, its seeds and their
+    share suffice. Each turn is two aggregates and two joins on the edge table, whose
+    heavy keys Spark splits; nothing is gathered per pattern.
     """
     edges = found.groupBy("pattern", "instance").agg(F.max(F.col("known").cast("int")).alias("known"))
     edges = materialise(edges, "pii-edges")
     known = edges.groupBy("instance").agg(F.max("known").alias("is_known"))
-    scores = materialise(known.select("instance", "is_known", F.col("is_known").cast("double").alias("score")),
-                         "pii-instances")
+    scores = materialise(known.select("instance", "is_known", F.col("is_known").alias("is_seed"),
+                                      F.col("is_known").cast("double").alias("score")), "pii-instances")
     patterns = None
     for turn in range(rounds):
         met = edges.select("pattern", "instance").join(scores, "instance")
-        patterns = materialise(met.groupBy("pattern").agg(
+        scored = met.groupBy("pattern").agg(
             (F.sum("score") / (F.count(F.lit(1)) + F.lit(PRIOR))).alias("confidence"),
-            F.sum("is_known").alias("seeds")), "pii-patterns")
+            F.sum("is_seed").alias("seeds"), F.count(F.lit(1)).alias("instances"))
+        trusted = ((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)
+                   & (F.col("seeds") >= MIN_SHARE * F.col("instances")))
+        patterns = materialise(scored.select("pattern", "confidence", "seeds", trusted.alias("trusted")), "pii-patterns")
         if turn < rounds - 1:
             doubt = F.sum(F.log1p(-F.least("confidence", F.lit(0.999999))))
             inferred = (edges.select("pattern", "instance")
-                        .join(patterns.filter("seeds > 0").select("pattern", "confidence"), "pattern")
-                        .groupBy("instance").agg((1 - F.exp(doubt)).alias("inferred")))
+                        .join(patterns.filter("seeds > 0").select("pattern", "confidence", "trusted"), "pattern")
+                        .groupBy("instance").agg((1 - F.exp(doubt)).alias("inferred"),
+                                                 F.max(F.col("trusted").cast("int")).alias("by_trusted")))
             scores = materialise(scores.drop("score").join(inferred, "instance", "left").select(
-                "instance", "is_known",
+                "instance", "is_known", F.greatest("is_seed", F.coalesce("by_trusted", F.lit(0))).alias("is_seed"),
                 F.when(F.col("is_known") == 1, 1.0).otherwise(F.coalesce("inferred", F.lit(0.0))).alias("score")),
                 "pii-instances")
     return patterns
@@ -227,8 +244,7 @@ def find(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_seeds: int
     """
     scanned = materialise(scan(docs), "pii-scan")
     found = materialise(occurrences(scanned), "pii-occurrences")
-    trusted = (score_patterns(found, rounds)
-               .filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("pattern"))
+    trusted = score_patterns(found, rounds, min_confidence, min_seeds).filter("trusted").select("pattern")
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit(FOUND).alias("kind"), "end",
                     F.col("instance").alias("match"))
     added = (found.filter("not known").join(trusted, "pattern")
