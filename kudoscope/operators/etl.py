@@ -27,10 +27,12 @@ def bernoulli_sample(df: DataFrame, unique: Column, rate: float, seed: int = SEE
     return df.filter(below_rate(draw_hash(unique, seed), rate))
 
 
-def standardise(raw: DataFrame, category: str = CATEGORY, source: str = SOURCE) -> DataFrame:
+def standardise(raw: DataFrame, category: str = CATEGORY, source: str = SOURCE,
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """Raw records in the processed schema plus ``drop_reason`` (null = usable so far).
 
-    Keeps every row, so the funnel counts and the table come from one definition.
+    Keeps every row, so the funnel counts and the table come from one definition. Columns
+    named by ``carry`` stay as they are.
     """
     body = tx.trim_spaces(F.coalesce(F.col("text"), F.lit("")))
     head = tx.trim_spaces(F.coalesce(F.col("title"), F.lit("")))
@@ -46,7 +48,7 @@ def standardise(raw: DataFrame, category: str = CATEGORY, source: str = SOURCE)
         F.coalesce(F.col("verified_purchase"), F.lit(False)).alias("verified_purchase"),
         labels.rating_to_sentiment(F.col("rating")).alias("sentiment"),
         F.lit(source).alias("source"),
-        *[c for c in raw.columns if c == "row_order"],
+        *[c for c in raw.columns if c == "row_order" or c in carry],
     )
     both = tx.combined_text(F.col("text"), F.col("title"))
     cleaned = compute_once(compute_once(named, _both=both),
@@ -99,6 +101,33 @@ def funnel(raw: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
     return counts.withColumn("raw_rows", total)
 
 
+def source_funnel(decoded: DataFrame) -> DataFrame:
+    """One row of counters from the lines of a source down to usable rows, in one pass.
+
+    ``decoded`` holds a row per line: the raw columns, ``drawn`` (in the sample) and
+    ``decoded`` (a JSON object). The texts of other lines are emptied before cleaning, so
+    they cost nothing, and all counters come from one aggregate. That aggregate is run
+    again whole where an executor is lost, unlike counters observed beside a write,
+    which count a repeated task twice. Empty source: all counters 0.
+    """
+    usable = F.coalesce(F.col("drawn") & F.col("decoded"), F.lit(False))
+    emptied = decoded.withColumns({c: F.when(usable, F.col(c)) for c in ("rating", "text", "title")})
+    tagged = standardise(emptied.withColumn("usable", usable), carry=("drawn", "usable")).select(
+        "drawn", "usable", "drop_reason",
+        F.when(F.col("drop_reason").isNull(), F.sha2("clean_text", 256)).alias("kept"))
+    return tagged.agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if("drawn").alias("sampled_lines"),
+        F.count_if(F.col("drawn") & ~F.col("usable")).alias("undecodable"),
+        F.count_if("usable").alias("sampled_rows"),
+        F.count_if(F.col("usable") & (F.col("drop_reason") == "invalid_rating")).alias("invalid_rating"),
+        F.count_if(F.col("drop_reason") == "empty_text").alias("empty_text"),
+        F.count_if(F.col("drop_reason") == "empty_clean_text").alias("empty_clean_text"),
+        F.count("kept").alias("_kept"),
+        F.countDistinct("kept").alias("final_rows"),
+    ).withColumn("duplicate_clean_text", F.col("_kept") - F.col("final_rows")).drop("_kept")
+
+
 def normalise_legacy(df: DataFrame, overwrite_text: bool = True) -> DataFrame:
     """Accept ``Review``+``Summary`` for ``text`` and ``Sentiment`` for ``sentiment``.
 

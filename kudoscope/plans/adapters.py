@@ -132,6 +132,15 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang") != "fr", F.col("doc_id") % 3 != 0).alias("verified_purchase"))
 
 
+def review_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw records as JSON lines; some are cut short and some are blank."""
+    raw = raw_reviews(spark, sf_dir)
+    line = F.to_json(F.struct(*[c for c in raw.columns if c != "row_order"]))
+    cut = F.concat(F.lit('{"rating": '), line)
+    return raw.select(F.when(F.col("row_order") % 10 == 7, cut).when(F.col("row_order") % 50 == 3, " ")
+                      .otherwise(line).alias("value"))
+
+
 def loosely_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review columns as text with the gaps a left join leaves."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")

@@ -528,6 +528,9 @@ FROM conversations, unnest([{'text': 'plain ' || turn, 'stars': 5.0::DOUBLE},
                           "WHERE NOT is_blank",
     "product_audit_export": f"WITH {T} SELECT product, rating, sentiment, verified_purchase, title, "
                             "text FROM t",
+    "catalogue_audit": f"WITH {T} SELECT product, count(*) AS rows_listed, count(*) AS rows_read, "
+                       "count(*) FILTER (verified_purchase) AS verified, "
+                       "CAST(sum(length(text)) AS BIGINT) AS text_length FROM t GROUP BY product",
     "place_payload_flatten": f"""WITH {PLACES}
 SELECT place_id, name, '' AS maps_uri, CASE WHEN role <> 'system' THEN body END AS body,
        CASE WHEN role = 'system' THEN body END AS original, stars AS rating, author,
@@ -611,6 +614,16 @@ SELECT count(*) AS sampled_rows, count(*) FILTER (why = 1) AS invalid_rating,
        count(DISTINCT clean_text) FILTER (why = 0) AS final_rows,
        count(*) FILTER (why = 0) - count(DISTINCT clean_text) FILTER (why = 0)
          AS duplicate_clean_text, count(*) AS raw_rows FROM tagged""",
+    "etl_line_funnel": f"""WITH {RAW}, tagged AS (
+  SELECT *, CASE WHEN sentiment IS NULL THEN 1 WHEN combined = '' THEN 2 WHEN clean_text = '' THEN 3 ELSE 0 END AS why
+  FROM std WHERE row_order % 10 <> 7 AND row_order % 50 <> 3)
+SELECT (SELECT count(*) FROM documents) AS raw_rows, (SELECT count(*) FROM documents) AS sampled_lines,
+       (SELECT count(*) FROM documents WHERE doc_id % 10 = 7 OR doc_id % 50 = 3) AS undecodable,
+       count(*) AS sampled_rows, count(*) FILTER (why = 1) AS invalid_rating,
+       count(*) FILTER (why = 2) AS empty_text, count(*) FILTER (why = 3) AS empty_clean_text,
+       count(DISTINCT clean_text) FILTER (why = 0) AS final_rows,
+       count(*) FILTER (why = 0) - count(DISTINCT clean_text) FILTER (why = 0)
+         AS duplicate_clean_text FROM tagged""",
     "store_totals": "SELECT 'reviews' AS \"table\", count(*) AS rows FROM orders UNION ALL "
                     "SELECT 'predictions', count(*) FROM lineitem",
     "prediction_distribution": f"WITH {STORED} SELECT sentiment, count(*) AS count FROM sp GROUP BY 1",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from kudoscope.functions.labels import DEFAULT_MODEL, MODELS
 from kudoscope.operators import analytics, etl, models, splitting
 from kudoscope.operators.vectorise import fit_vectoriser
-from kudoscope.schemas import LABELS
+from kudoscope.schemas import LABELS, RAW_REVIEW
 from kudoscope.session import materialise
 from kudoscope.sources import readers
 
@@ -28,6 +28,18 @@ def run_etl(raw: DataFrame, target: int | None = None, total_rows: int | None =
     return etl.processed_reviews(raw, order)
 
 
+def line_funnel(lines: DataFrame, rate: float = 1.0, column: str = "value") -> DataFrame:
+    """Counters of the ETL from the lines of a JSON-lines source, blank and broken ones included.
+
+    With a ``rate`` below 1 a line is drawn by its content, before it is parsed: equal
+    lines are drawn together, and lines that are not drawn are counted but not parsed.
+    """
+    line = F.coalesce(F.col(column), F.lit(""))
+    drawn = etl.below_rate(etl.draw_hash(line, etl.SEED), rate)
+    picked = lines.select(F.when(drawn, line).alias("_line"), drawn.alias("drawn"))
+    return etl.source_funnel(readers.decode_json(picked, "_line", RAW_REVIEW).drop("_line"))
+
+
 def prepare_training(df: DataFrame, order: str = "row_order") -> DataFrame:
     """Prepared reviews with ``is_test``. Written once: the split and every fit read it."""
     prepared = etl.preprocess(etl.normalise_legacy(df), order)

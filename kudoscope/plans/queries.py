@@ -16,7 +16,7 @@ from kudoscope.operators import (analytics, attribution, etl, evaluation, filter
 from kudoscope.plans import adapters as ad, pipelines
 from kudoscope.schemas import LABELS
 from kudoscope.session import materialise, work_dir
-from kudoscope.sources import readers
+from kudoscope.sources import readers, sinks
 from kudoscope.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,21 @@ def product_audit_export(spark, sf):
     return analytics.product_audit(ad.text_reviews(spark, sf))
 
 
+@query
+def catalogue_audit(spark, sf):
+    """The whole catalogue written in ranges of products and read back by the manifest's files."""
+    path = work_dir(spark, "catalogue-audit")
+    sinks.write_catalogue_audit(ad.text_reviews(spark, sf), path)
+    held = readers.catalogue_manifest(spark, path)
+    rows = readers.read_catalogue_audit(spark, path)
+    found = rows.groupBy("product").agg(
+        F.count(F.lit(1)).alias("rows_read"), F.count_if("verified_purchase").alias("verified"),
+        F.sum(F.length("text")).alias("text_length"))
+    return (held.groupBy("product").agg(F.sum("rows").alias("rows_listed"))
+            .join(found.withColumnRenamed("product", "_p"), F.col("product").eqNullSafe(F.col("_p")), "full")
+            .drop("_p"))
+
+
 @query
 def place_payload_flatten(spark, sf):
     flat = readers.flatten_place_reviews(readers.place_details(ad.place_payloads(spark, sf)))
@@ -295,6 +310,11 @@ def etl_funnel(spark, sf):
     return etl.funnel(ad.raw_reviews(spark, sf))
 
 
+@query
+def etl_line_funnel(spark, sf):
+    return pipelines.line_funnel(ad.review_lines(spark, sf))
+
+
 @query
 def store_totals(spark, sf):
     return store.store_totals(*ad.stored_tables(spark, sf))

@@ -107,6 +107,25 @@ def read_raw_reviews(spark: SparkSession, path: str, partitions: int | None = No
     return parse_json(lines.filter(~tx.is_blank(F.col("_line"))), "_line", RAW_REVIEW).drop("_line")
 
 
+def catalogue_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``product, file, rows`` of an audit written by ``sinks.write_catalogue_audit``."""
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_catalogue_audit(spark: SparkSession, path: str, product: str | None = None) -> DataFrame:
+    """Audit rows of one product, from the files that hold it, or of the whole catalogue.
+
+    A product lies in neighbouring files, at most as many as the audit has, so their names
+    are few. A product that the manifest does not list gives no rows.
+    """
+    rows = spark.read.parquet(f"{path}/rows")
+    if product is None:
+        return rows
+    held = catalogue_manifest(spark, path).filter(F.col("product") == product).select("file").collect()
+    found = spark.read.schema(rows.schema).parquet(*[f"{path}/rows/{r['file']}" for r in held]) if held else rows
+    return found.filter(F.col("product") == product)
+
+
 def source_row_count(lines: DataFrame) -> DataFrame:
     """Number of source rows; feeds the sampling rate."""
     return lines.agg(F.count(F.lit(1)).alias("total_rows"))

@@ -42,6 +42,27 @@ def write_product_audit(df: DataFrame, path: str) -> None:
      .option("header", True).option("escape", '"').partitionBy("product").csv(path))
 
 
+def write_catalogue_audit(df: DataFrame, path: str, files: int = 64, rows_per_file: int = 1_000_000) -> None:
+    """The audit of a whole catalogue in ``files`` ranges of products, and a manifest of them.
+
+    The number of files follows ``files`` and the number of rows, not that of products. Rows
+    are ranged by product and a hash of all columns of ``df``, its row id among them, so that
+    a hot product spreads over several ranges and a repeated task deals rows out as before.
+    ``path/manifest`` names per product the files that hold it and their rows; a null product
+    is one like any other.
+    """
+    salted = df.select(F.struct("*").alias("row"), F.xxhash64(*df.columns).alias("salt"))
+    rows = analytics.product_audit(df)
+    (salted.repartitionByRange(files, "row.product", "salt").select(*[f"row.{c}" for c in rows.columns])
+     .sortWithinPartitions("product")
+     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/rows"))
+    written = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+    (written.groupBy("product", F.col("_metadata.file_name").alias("file"))
+     .agg(F.count(F.lit(1)).alias("rows"))
+     .repartitionByRange(max(1, files // 16), "product").sortWithinPartitions("product")
+     .write.mode("overwrite").parquet(f"{path}/manifest"))
+
+
 def write_scored_batch(df: DataFrame, path: str) -> None:
     (df.select("text", "sentiment", "confidence", "model_used").write.mode("overwrite")
      .option("header", True).option("escape", '"').csv(path))

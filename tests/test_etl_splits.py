@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kudoscope.operators import etl, ranking, splitting
 from kudoscope.plans import pipelines
+from kudoscope.schemas import RAW_REVIEW
 from kudoscope.sources import readers, sinks
 
 RECORDS = [
@@ -66,6 +67,34 @@ def test_funnel(raw):
     assert (half["raw_rows"], half["sampled_rows"]) == (9, 8)
 
 
+def test_funnel_of_lines(spark, tmp_path):
+    """Blank and broken lines are source lines; sampling is by line and repeats."""
+    lines = [*map(json.dumps, RECORDS), "{broken json", "", None, "[1]"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string").repartition(3)
+    f = pipelines.line_funnel(df).first().asDict()
+    assert f == dict(raw_rows=13, sampled_lines=13, undecodable=4, sampled_rows=9, invalid_rating=4, empty_text=1,
+                     empty_clean_text=1, duplicate_clean_text=1, final_rows=2)
+    sinks.write_summary(etl.processed_reviews(readers.parse_json(df, "value", RAW_REVIEW).withColumn(
+        "row_order", F.lit(1))), f"{tmp_path}/summary", pipelines.line_funnel(df))
+    doc = spark.read.json(f"{tmp_path}/summary").first()["document"]
+    assert doc["funnel"]["raw_rows"] == 13.0 and doc["funnel"]["undecodable"] == 4.0
+    assert set(pipelines.line_funnel(df.limit(0)).first().asDict().values()) == {0}
+
+
+def test_funnel_of_sampled_lines(spark):
+    lines = [json.dumps({"rating": i % 7, "text": f"text {chr(97 + i % 26) * (i % 9)}", "user_id": f"u{i}"})
+             if i % 5 else f"broken {i}" for i in range(2000)]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    f = pipelines.line_funnel(df, 0.3).first().asDict()
+    drawn = [x for x in lines if hashlib.md5(f"{x}_{etl.SEED}".encode()).hexdigest()[:8] < format(
+        int(0.3 * 2 ** 32), "08x")]
+    assert f["raw_rows"] == 2000 and f["sampled_lines"] == len(drawn) and 500 < len(drawn) < 700
+    assert f["undecodable"] == sum(x.startswith("broken") for x in drawn)
+    dropped = ("invalid_rating", "empty_text", "empty_clean_text", "duplicate_clean_text", "final_rows")
+    assert f["sampled_rows"] == f["sampled_lines"] - f["undecodable"] == sum(f[k] for k in dropped)
+    assert f == pipelines.line_funnel(df.repartition(7), 0.3).first().asDict()
+
+
 def test_quality_checks(raw):
     good = dict(rows(etl.quality_checks(etl.processed_reviews(raw))))
     assert len(good) == 6 and set(good.values()) == {0}

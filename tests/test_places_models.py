@@ -292,3 +292,27 @@ def test_batch_sources_and_exports(spark, artifacts, tmp_path):
     stored.write.parquet(f"{tmp_path}/m1")
     sinks.upsert_metrics(spark, f"{tmp_path}/m1", stored.withColumn("accuracy", F.lit(0.7)), f"{tmp_path}/m2")
     assert spark.read.parquet(f"{tmp_path}/m2").first()["accuracy"] == 0.7
+
+
+def test_catalogue_audit(spark, tmp_path):
+    """A hot product lies in several files, a million products in no more files; one is read from its own."""
+    path = f"{tmp_path}/catalogue"
+    ids = spark.range(6000).withColumnRenamed("id", "row_order")
+    product = (F.when(F.col("row_order") % 3 == 0, "hot").when(F.col("row_order") == 1, F.lit(None))
+               .when(F.col("row_order") == 2, "").otherwise(F.concat(F.lit("p"), "row_order")))
+    df = ids.select("row_order", product.alias("product"), F.lit(4.0).alias("rating"), F.lit("positive").alias("sentiment"),
+                    F.lit(True).alias("verified_purchase"), F.lit("t").alias("title"), F.lit('x\n"y"').alias("text"))
+    sinks.write_catalogue_audit(df, path, files=8)
+    held = readers.catalogue_manifest(spark, path)
+    assert held.select("file").distinct().count() <= 8
+    assert 1 < held.filter("product = 'hot'").count() < 8
+    assert held.agg(F.sum("rows")).first()[0] == 6000 and held.filter("product IS NULL").first()["rows"] == 1
+    assert readers.read_catalogue_audit(spark, path, "hot").count() == 2000
+    one = readers.read_catalogue_audit(spark, path, "p7")
+    assert [r["text"] for r in one.collect()] == ['x\n"y"'] and len(one.inputFiles()) == 1
+    assert readers.read_catalogue_audit(spark, path, "").count() == 1
+    assert readers.read_catalogue_audit(spark, path, "none").count() == 0
+    assert readers.read_catalogue_audit(spark, path).count() == 6000
+    sinks.write_catalogue_audit(df.limit(0), f"{tmp_path}/none", files=8)
+    assert readers.catalogue_manifest(spark, f"{tmp_path}/none").count() == 0
+    assert readers.read_catalogue_audit(spark, f"{tmp_path}/none").count() == 0
