@@ -11,6 +11,10 @@ from kudoscope.functions.rules import with_intelligence
 from kudoscope.operators.ranking import draw_hash, top_per_group
 
 ALL = "All"
+# Keys at which a turn of ``deep_page`` cuts a range.
+CUTS = 64
+# Rows before a page up to which one top-n passes over them; both ways give the same page.
+DEEP = 10_000
 
 
 def search_predicate(query: str, literal: bool = False) -> Column:
@@ -95,10 +99,60 @@ def feed_total(df: DataFrame, sort_by: str = "Most Recent", aspect: str | None =
 
 
 def paginate(df: DataFrame, skip: int = 0, limit: int = 100, order: str = "review_id") -> DataFrame:
-    """Offset / limit in a stable order; planned as one distributed top-n."""
+    """Offset / limit in a stable order: one distributed top-n, deep pages by ``deep_page``."""
+    if skip > DEEP:
+        return deep_page(df, skip, limit, order)
     return df.orderBy(order).offset(skip).limit(limit)
 
 
+def page_after(df: DataFrame, after: str | int | None, limit: int = 100, order: str = "review_id") -> DataFrame:
+    """The page behind the key ``after`` (the first page for None): a pushed-down range and a top-n.
+
+    ``order`` must be unique and not null; the caller hands on the last key of a page.
+    """
+    rows = df if after is None else df.filter(F.col(order) > F.lit(after))
+    return rows.orderBy(order).limit(limit)
+
+
+def deep_page(df: DataFrame, skip: int = 0, limit: int = 100, order: str = "review_id",
+              enough: int = 10_000) -> DataFrame:
+    """The rows of ``paginate`` for any depth, without ordering what lies before the page.
+
+    Each turn draws ``CUTS`` keys of the range the page lies in, counts the rows between these
+    cuts exactly, and goes on with the parts that the page touches, until they hold at most
+    ``enough`` rows beside the page. Which keys are drawn changes the number of turns only. A turn
+    hands the driver ``CUTS`` keys and as many counts, the last one at most ``enough`` rows and the
+    page, if keys are unique; rows of equal keys stay together, as in ``paginate``. Null keys come
+    first; a page beyond the last row is empty.
+    """
+    key, rows, before = F.col(order), df, 0
+    while True:
+        drawn = rows.filter(key.isNotNull()).select(order).orderBy(F.rand(0)).limit(CUTS).collect()
+        cuts = sorted({r[0] for r in drawn})
+        part = F.lit(-1)  # null keys and those before the first cut
+        for i in reversed(range(len(cuts))):
+            test = key >= F.lit(cuts[i])
+            part = F.when(test, i) if i == len(cuts) - 1 else part.when(test, i)
+        if cuts:
+            part = part.otherwise(-1)
+        counts = sorted(rows.groupBy(part.alias("part")).count().collect())
+        touched, end = [], before
+        for i, n in counts:
+            start, end = end, end + n
+            if end > skip and start < skip + limit:
+                touched.append((i, start, n))
+        if not touched:
+            return df.limit(0)
+        (low, before, _), high = touched[0], touched[-1][0]
+        if low >= 0:
+            rows = rows.filter(key >= F.lit(cuts[low]))
+        if high + 1 < len(cuts):
+            ahead = key < F.lit(cuts[high + 1])
+            rows = rows.filter(ahead if low >= 0 else ahead | key.isNull())
+        if sum(n for *_, n in touched) <= limit + enough or len(touched) == len(counts):
+            return rows.orderBy(order).offset(skip - before).limit(limit)
+
+
 def sample_cap(df: DataFrame, unique: str, cap: int, seed: int = 42) -> DataFrame:
     """At most ``cap`` rows, chosen at random but repeatably."""
     draw = draw_hash(F.col(unique), seed)

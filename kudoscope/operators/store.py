@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kudoscope.functions import labels, text as tx
-from kudoscope.operators import analytics
+from kudoscope.operators import analytics, filters
 from kudoscope.schemas import METRIC, STORED_REVIEW
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -57,7 +57,7 @@ def stored_reviews(reviews: DataFrame, predictions: DataFrame, product: str | No
         rows = rows.select(*[F.col(c) for c in reviews.columns])
     else:
         rows = reviews.filter(F.col("product") == product) if product else reviews
-    return rows.orderBy(order).offset(skip).limit(limit)
+    return filters.paginate(rows, skip, limit, order)
 
 
 def store_totals(reviews: DataFrame, predictions: DataFrame) -> DataFrame:

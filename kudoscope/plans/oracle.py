@@ -749,6 +749,8 @@ WHERE list_contains(all_aspects, 'Packaging') ORDER BY date_dt DESC, review_id L
 SELECT least(count(*), 50) AS shown, count(*) AS total_rows FROM intel
 WHERE list_contains(all_aspects, 'Delivery')""",
     "feed_mismatch_only": f"WITH {T} SELECT review_id, rating, sentiment FROM t WHERE {mismatch()}",
+    "deep_page": f"WITH {R} SELECT review_id, product, rating FROM r ORDER BY review_id "
+                 "LIMIT 50 OFFSET 1200",
     "paginate_reviews": f"WITH {R} SELECT review_id, product, rating FROM r ORDER BY review_id "
                         "LIMIT 50 OFFSET 100",
     "mismatch_samples": f"""{INTEL}, kd AS (

@@ -514,6 +514,13 @@ def feed_mismatch_only(spark, sf):
         "review_id", "rating", "sentiment")
 
 
+@query
+def deep_page(spark, sf):
+    """A page behind 1,200 reviews, found by counts of key ranges."""
+    page = filters.deep_page(ad.relational_reviews(spark, sf), 1200, 50, enough=100)
+    return page.select("review_id", "product", "rating")
+
+
 @query
 def paginate_reviews(spark, sf):
     return filters.paginate(ad.relational_reviews(spark, sf), 100, 50).select(

@@ -169,3 +169,20 @@ def test_metrics_upsert(spark):
     assert got["svc"]["macro_f1"] is None
     assert store.read_metrics(store.upsert_metrics(stored, fresh)).filter(
         "model_name = 'svc'").first()["macro_f1"] == 0.4
+
+
+def test_deep_pages(spark):
+    """Pages of any depth equal those of one sorted list; null keys first, equal keys together."""
+    keys = [None, None, *[f"k{(i * 7919) % 5000:05d}" for i in range(5000)]]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "review_id string, n int").repartition(5)
+    whole = sorted(keys, key=lambda k: (k is not None, k or ""))
+    for skip, limit in ((0, 3), (1, 5), (2, 1), (1700, 40), (4990, 30), (4999, 10), (5002, 5), (9999, 5), (10, 0)):
+        page = filters.deep_page(df, skip, limit, enough=20)
+        assert [r["review_id"] for r in page.collect()] == whole[skip:skip + limit]
+    assert filters.deep_page(df.limit(0), 0, 5).count() == 0
+    tied = df.select(F.lit(1).alias("review_id"), "n")
+    assert filters.deep_page(tied, 4000, 5, enough=20).count() == 5
+    first = filters.page_after(df.filter("review_id IS NOT NULL"), None, 4)
+    last = first.collect()[-1]["review_id"]
+    after = filters.page_after(df, last, 4)
+    assert [r["review_id"] for r in first.union(after).collect()] == whole[2:10]
