@@ -11,6 +11,9 @@ from kudoscope.functions.labels import DEFAULT_MODEL, share_pct
 from kudoscope.functions.rules import with_intelligence
 from kudoscope.operators import models
 
+# Micro-batches after which the window table is written whole.
+SNAPSHOT_EVERY = 20
+
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
                 files_per_batch: int | None = None) -> DataFrame:
@@ -77,22 +80,62 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def update_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def _written(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the finished folders ``kind=number`` in ``path``, ascending."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(f.getName().split("=")[1]) for f in found
+                  if f.getName().startswith(f"{kind}=") and files.exists(hadoop.Path(f, "_SUCCESS")))
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def update_windows(stream: DataFrame, path: str, checkpoint: str, key: str = "window_start",
+                   snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
     """Changed windows of each micro-batch, in a folder of the batch's own.
 
     State ends behind the watermark. A batch that is run again overwrites its own
-    folder, so readers never miss a table and never count a batch twice.
+    folder, so readers never miss a table and never count a batch twice. Every
+    ``snapshot_every`` batches the newest state of all windows is written to
+    ``path-snapshots``; then the batches and snapshots that the snapshot before holds go.
+    A reader that began before two snapshots were made has to start again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % snapshot_every:
+            return
+        spark, snapshots = batch.sparkSession, f"{path}-snapshots"
+        held = [n for n in _written(spark, snapshots, "upto") if n < batch_id]
+        newest = _newest(spark, path, batch.schema, key, held[-1] if held else None)
+        newest.write.mode("overwrite").parquet(f"{snapshots}/upto={batch_id}")
+        if held:
+            for n in _written(spark, path, "batch"):
+                if n <= held[-1]:
+                    _drop(spark, f"{path}/batch={n}")
+            for n in held[:-1]:
+                _drop(spark, f"{snapshots}/upto={n}")
 
     return (stream.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def latest_windows(spark: SparkSession, path: str, schema: T.StructType,
-                   key: str = "window_start") -> DataFrame:
-    """The newest state of every window that ``update_windows`` wrote."""
+def _newest(spark: SparkSession, path: str, schema: T.StructType, key: str, upto: int | None) -> DataFrame:
+    """The newest state of every window from the snapshot ``upto`` and the batches since."""
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if upto is not None:
+        held = spark.read.schema(schema).parquet(f"{path}-snapshots/upto={upto}")
+        rows = rows.filter(F.col("batch") > upto).unionByName(held.withColumn("batch", F.lit(upto).cast("long")))
     newest = rows.groupBy(key).agg(F.max_by(F.struct(*schema.names), "batch").alias("_row"))
     return newest.select("_row.*")
+
+
+def latest_windows(spark: SparkSession, path: str, schema: T.StructType,
+                   key: str = "window_start") -> DataFrame:
+    """The newest state of every window that ``update_windows`` wrote: the last snapshot and the batches since."""
+    held = _written(spark, f"{path}-snapshots", "upto")
+    return _newest(spark, path, schema, key, held[-1] if held else None)

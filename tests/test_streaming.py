@@ -1,6 +1,7 @@
 """Streams: equal to batch, repeats dropped, late rows excluded."""
 
 import datetime as dt
+import re
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -82,3 +83,32 @@ def test_update_mode_keeps_open_windows(spark, tmp_path):
     assert run() == [(1, 1), (9, 1)]
     land(spark, tmp_path / "in", "b", [("e", "positive", at(9))], LOG)
     assert run() == [(1, 1), (9, 2)]
+
+
+def test_window_snapshots(spark, tmp_path):
+    """Snapshots bound the folders that are kept and read; rows stay those of all batches."""
+    days = [*range(1, 12)]
+    for i, day in enumerate(days):
+        land(spark, tmp_path / "in", f"f{i:02d}", [(f"r{i}", "positive", at(day)), (f"s{i}", "negative", at(9))], LOG)
+    schema = spark.createDataFrame([], LOG).schema
+    stream = live.file_stream(spark, f"{tmp_path}/in/*", schema, files_per_batch=1)
+    ratio = live.windowed_ratio_stream(stream, delay="60 days")
+
+    def run():
+        live.update_windows(ratio, f"{tmp_path}/out", f"{tmp_path}/state", snapshot_every=3).awaitTermination()
+        return live.latest_windows(spark, f"{tmp_path}/out", ratio.schema)
+
+    want = sorted((d, 12 if d == 9 else 1) for d in days)
+    got = run()
+    assert rows(got.select(F.dayofmonth("window_start"), F.col("total").cast("int"))) == sorted(want, key=repr)
+    held = live._written(spark, f"{tmp_path}/out-snapshots", "upto")
+    kept = live._written(spark, f"{tmp_path}/out", "batch")
+    assert len(held) == 2 and (held[-1] + 1) % 3 == 0
+    assert kept[0] == held[0] + 1 and len(kept) <= 2 * 3
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[[^]]*\(batch#\d+L? > {held[-1]}\)", scan)  # folders before are not opened
+    # a snapshot that was not finished is not read
+    (tmp_path / "out-snapshots" / "upto=99").mkdir()
+    land(spark, tmp_path / "in", "g", [("late", "positive", at(2))], LOG)
+    again = run().select(F.dayofmonth("window_start"), F.col("total").cast("int"))
+    assert dict(rows(again))[2] == 2 and dict(rows(again))[9] == 12
