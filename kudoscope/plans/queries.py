@@ -899,8 +899,12 @@ def train_pipeline(spark, sf):
 
 # ---------------------------------------------------------------- streams
 def _stream(spark, sf, name: str) -> DataFrame:
+    """A table, which is one file or a folder of files, as a stream.
+
+    The brackets make the path a glob: a path without one would have to be a folder.
+    """
     schema = ad.table(spark, sf, name).schema
-    return live.file_stream(spark, sf, schema, f"{name}.parquet")
+    return live.file_stream(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", schema, "*")
 
 
 @query

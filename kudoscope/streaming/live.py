@@ -17,7 +17,7 @@ SNAPSHOT_EVERY = 20
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
                 files_per_batch: int | None = None) -> DataFrame:
-    """Stream of Parquet files landing in ``folder``."""
+    """Stream of Parquet files landing in ``folder``, which may be a glob over files and folders."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

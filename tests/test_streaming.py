@@ -3,10 +3,11 @@
 import datetime as dt
 import re
 
-from conftest import rows
+from conftest import SF, rows
 from pyspark.sql import functions as F
 
 from kudoscope.functions.rules import with_intelligence
+from kudoscope.plans.queries import QUERIES
 from kudoscope.streaming import live
 
 REVIEW = "row_order long, text string, sentiment string, rating double"
@@ -112,3 +113,12 @@ def test_window_snapshots(spark, tmp_path):
     land(spark, tmp_path / "in", "g", [("late", "positive", at(2))], LOG)
     again = run().select(F.dayofmonth("window_start"), F.col("total").cast("int"))
     assert dict(rows(again))[2] == 2 and dict(rows(again))[9] == 12
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    """A table may be a folder of part files: every row of every file arrives."""
+    for name in ("documents", "labels", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_score", "stream_log_dedup", "stream_windowed_ratio"):
+        got, want = QUERIES[name](spark, str(tmp_path)), QUERIES[name](spark, SF)
+        assert rows(got) == rows(want) and got.count() > 0
