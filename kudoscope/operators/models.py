@@ -64,19 +64,19 @@ def intercepts_of(classifier: PipelineModel) -> list[float]:
 
 
 def fit_classifier(name: str, featured: DataFrame, max_iter: int = 1000,
-                   svc_max_iter: int = 2000) -> PipelineModel:
+                   svc_max_passes: int = 2000) -> PipelineModel:
     """Fit one of the three model codes on rows with ``features`` and ``sentiment``.
 
     All fits stop on tolerance, long before their limits.
     """
+    if name == "linearsvc":
+        return PipelineModel(margin.fit(featured, svc_max_passes))
     train = featured.withColumn("label_index", _label_index(F.col("sentiment")))
     n = train.count()
     if name == "logistic_regression":
         return _logistic(train, n, None, max_iter)
     if name == "balanced_logistic_regression":
         return _logistic(train, n, evaluation.class_weights(featured), max_iter)
-    if name == "linearsvc":
-        return PipelineModel(margin.fit(featured, svc_max_iter))
     raise ValueError(f"unknown model {name!r}")
 
 

@@ -1,11 +1,13 @@
 """Linear models as tables: same answers as the fitted pipelines, optimal fits."""
 
+import numpy as np
 import pytest
 from conftest import SF, rows
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from kudoscope.functions.labels import MODELS
-from kudoscope.operators import linear, models
+from kudoscope.operators import linear, margin, models
 from kudoscope.plans import adapters as ad, pipelines
 from kudoscope.schemas import LABELS
 
@@ -89,6 +91,24 @@ def test_machines_are_optimal(spark, trained):
     assert gradient.agg(F.max(F.abs("gradient"))).first()[0] <= 1e-5
 
 
+def test_machines_need_few_passes(spark):
+    """Optimal within 60 passes over rows of common and rare terms, more rows than the sample holds."""
+    draw, width = np.random.default_rng(5), 800
+    data = []
+    for i in range(4000):
+        at = np.unique((width * draw.random(40) ** 3).astype(int))
+        values = draw.random(len(at)) + 0.1
+        data.append((LABELS[(int(at.sum()) + i % 2) % 3], Vectors.sparse(width, at, values / np.sqrt(values @ values))))
+    train = spark.createDataFrame(data, ["sentiment", "features"])
+    machines = margin.fit(train, 60)
+    x = np.stack([np.append(v.toArray(), 1.0) for _, v in data])
+    for c, machine in zip(LABELS, machines):
+        w = np.append(machine.coefficients.toArray(), machine.intercept)
+        side = np.array([1.0 if label == c else -1.0 for label, _ in data])
+        gradient = w + x.T @ (-2 * side * np.maximum(0.0, 1 - side * (x @ w)))
+        assert np.abs(gradient).max() / len(data) <= 1.01e-6
+
+
 def test_gradient_is_that_of_the_loss(spark):
     """Against a difference quotient of the squared hinge and the log loss on a hand-made model."""
     import math
