@@ -11,6 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kudoscope.functions import text as tx
+from kudoscope.functions.columns import compute_once
 
 # Fixed value: size of the vocabulary.
 VOCABULARY_SIZE = 10_000
@@ -35,26 +36,33 @@ def document_terms(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFr
         doc, F.explode(tx.ngrams(tx.words(F.col(clean)))).alias("term"))
 
 
-def term_counts(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFrame:
-    """``(doc, term, tf)`` of single words and pairs."""
-    return (document_terms(df, doc, clean).groupBy(doc, "term")
-            .agg(F.count(F.lit(1)).alias("tf")))
+def term_totals(df: DataFrame, clean: str = "clean_text") -> DataFrame:
+    """``(term, total, df)``: occurrences of every single word or pair, and rows that have it.
+
+    Repeats are told apart inside each row, so nothing is held per row and term: a task
+    holds the distinct terms of its rows only, and the texts are not shuffled.
+    """
+    held = compute_once(df.select(clean), _terms=tx.ngrams(tx.words(F.col(clean)))).select("_terms")
+    seen = F.concat(F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("first"))),
+                    F.transform(F.array_distinct("_terms"),
+                                lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("first"))))
+    return (held.select(F.inline(seen)).groupBy("term")
+            .agg(F.sum("n").alias("total"), F.sum("first").alias("df")))
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
+def vocabulary(totals: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """The ``size`` most frequent terms with corpus count and document count."""
-    return (counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-            .orderBy(F.col("total").desc(), F.col("term").asc()).limit(size))
+    return totals.orderBy(F.col("total").desc(), F.col("term").asc()).limit(size)
 
 
 def tfidf_table(df: DataFrame, doc: str, clean: str = "clean_text",
                 size: int = VOCABULARY_SIZE) -> DataFrame:
-    """``(doc, term, tf, tfidf)`` with smoothed idf and unit length per document."""
+    """``(doc, term, tf, tfidf)`` with smoothed idf and unit length per document; ``doc`` is unique."""
     documents = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((documents + 1) / (F.col("df") + 1)) + 1
     # the vocabulary is limited to `size` rows, so it may be broadcast; joined before
     # counting it drops most pairs, which occur too rarely to be in it
-    known = F.broadcast(vocabulary(term_counts(df, doc, clean), size).select("term", "df"))
+    known = F.broadcast(vocabulary(term_totals(df, clean), size).select("term", "df"))
     weighted = (document_terms(df, doc, clean).join(known, "term").groupBy(doc, "term")
                 .agg(F.count(F.lit(1)).alias("tf"), F.max("df").alias("df"))
                 .withColumn("weight", F.col("tf") * idf))
@@ -71,12 +79,13 @@ def ngram_counts(df: DataFrame, clean: str = "clean_text") -> DataFrame:
 def fit_vectoriser(train: DataFrame, doc: str, clean: str = "clean_text",
                    size: int = VOCABULARY_SIZE) -> PipelineModel:
     """Pipeline from ``clean_text`` to ``features``, fitted on the training rows only.
+    Every row is a document; ``doc``, which names it, is unique.
 
     Only the vocabulary (at most ``size`` rows) comes to the driver. Building the
     stages from it keeps the cut at ``size`` deterministic.
     """
     n = train.count()
-    rows = vocabulary(term_counts(train, doc, clean), size).collect()
+    rows = vocabulary(term_totals(train, clean), size).collect()
     terms = [r["term"] for r in rows]
     idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in rows]
     return PipelineModel([

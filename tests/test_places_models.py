@@ -316,3 +316,20 @@ def test_catalogue_audit(spark, tmp_path):
     sinks.write_catalogue_audit(df.limit(0), f"{tmp_path}/none", files=8)
     assert readers.catalogue_manifest(spark, f"{tmp_path}/none").count() == 0
     assert readers.read_catalogue_audit(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_totals_hold_nothing_per_document(spark):
+    """Totals and document counts as by a plain count; no aggregate or shuffle by document."""
+    from collections import Counter
+    texts = ["good film good film", "film plot", "", None, "a b", "plot", "good plot film good"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "review_id int, clean_text string")
+    total, docs = Counter(), Counter()
+    for t in texts:
+        words = [w for w in (t or "").split(" ") if len(w) >= 2]
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        total.update(terms)
+        docs.update(set(terms))
+    found = vectorise.vocabulary(vectorise.term_totals(df))
+    assert {r["term"]: (r["total"], r["df"]) for r in found.collect()} == {t: (total[t], docs[t]) for t in total}
+    plan = vectorise.tfidf_table(df, "review_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(review_id") == 1
