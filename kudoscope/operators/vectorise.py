@@ -15,6 +15,8 @@ from kudoscope.functions.columns import compute_once
 
 # Fixed value: size of the vocabulary.
 VOCABULARY_SIZE = 10_000
+# About how many times the bytes of a text its terms take.
+FAN_OUT = 8
 
 
 # The terms of `text.ngrams(text.words(...))` as a statement, which a saved pipeline
@@ -30,9 +32,12 @@ def document_terms(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFr
     """``(doc, term)`` for every occurrence of a single word or pair.
 
     The texts are hashed by document once, before they fan out into terms: every
-    later grouping by document finds that partitioning and does not shuffle.
+    later grouping by document finds that partitioning and does not shuffle. Their
+    bytes grow by that, so there are ``FAN_OUT`` times the usual partitions, which a number
+    of partitions also keeps from being put together again by the size of the texts.
     """
-    return df.select(doc, clean).repartition(doc).select(
+    partitions = FAN_OUT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(doc, clean).repartition(partitions, doc).select(
         doc, F.explode(tx.ngrams(tx.words(F.col(clean)))).alias("term"))
 
 

@@ -333,3 +333,13 @@ def test_totals_hold_nothing_per_document(spark):
     assert {r["term"]: (r["total"], r["df"]) for r in found.collect()} == {t: (total[t], docs[t]) for t in total}
     plan = vectorise.tfidf_table(df, "review_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(review_id") == 1
+
+
+def test_texts_fan_out_in_small_partitions(spark):
+    """More partitions than usual where texts become terms, and not put together by the texts' size."""
+    df = spark.createDataFrame([(i, "good film plot") for i in range(50)], "review_id int, clean_text string")
+    terms = vectorise.document_terms(df, "review_id")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "hashpartitioning(review_id#" in (plan := terms._jdf.queryExecution().executedPlan().toString())
+    assert f", {vectorise.FAN_OUT * usual}), REPARTITION_BY_NUM" in plan
+    assert terms.count() == 50 * 5
