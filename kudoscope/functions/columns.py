@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -18,3 +20,12 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     one = F.array(F.struct(*[F.col(h).alias(n) for n, h in held.items()]))
     return (df.withColumns({held[n]: c for n, c in columns.items()})
             .select(*df.columns, F.inline(one)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once however often ``use`` names it.
+
+    A column named twice in an expression is evaluated twice where array functions or
+    generators are around it; steps that each name the one before twice double at every step.
+    """
+    return F.get(F.transform(F.array(value), use), 0)

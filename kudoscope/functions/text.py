@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from kudoscope.functions.columns import let
+
 # ---------------------------------------------------------------- fixed values
 # Contractions spelled out before punctuation goes, so the negation survives.
 CONTRACTIONS = {
@@ -85,7 +87,8 @@ def strip_html(text: Column) -> Column:
 
 def strip_urls(text: Column) -> Column:
     """Drop everything from ``http`` or ``www`` to the next space, also inside words."""
-    return F.regexp_replace(text, f"(?:http|www){NON_SPACE}+", " ")
+    some = F.contains(text, F.lit("http")) | F.contains(text, F.lit("www"))
+    return F.when(some, F.regexp_replace(text, f"(?:http|www){NON_SPACE}+", " ")).otherwise(text)
 
 
 def expand_contractions(text: Column) -> Column:
@@ -108,16 +111,21 @@ def remove_stopwords(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """The full cleaner used before deduplication, training and scoring."""
-    plain = expand_contractions(strip_urls(strip_html(lower_text(text))))
-    return remove_stopwords(normalise_letters(plain))
+    """The full cleaner used before deduplication, training and scoring.
+
+    Each step names the text before it several times, so it is handed on by ``let``. Splitting
+    at what is no letter gives the words that ``normalise_letters`` leaves.
+    """
+    plain = let(lower_text(text), lambda t: let(strip_html(t), lambda u: let(strip_urls(u), expand_contractions)))
+    words = F.filter(F.split(plain, "[^a-z]+"), lambda w: ~w.isin("", *REMOVED_WORDS))
+    return F.array_join(words, " ")
 
 
 def combined_text(text: Column, title: Column) -> Column:
     """Body and title as one trimmed string."""
     both = F.concat(trim_spaces(F.coalesce(text, F.lit(""))), F.lit(" "),
                     trim_spaces(F.coalesce(title, F.lit(""))))
-    return trim_spaces(both)
+    return let(both, trim_spaces)
 
 
 def hashed_id(prefix: str, *parts: Column) -> Column:
@@ -168,12 +176,15 @@ def words(clean: Column) -> Column:
 
 def ngrams(tokens: Column) -> Column:
     """Single words followed by adjacent pairs."""
-    pairs = F.when(
-        F.size(tokens) >= 2,
-        F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1),
-                   lambda a, b: F.concat(a, F.lit(" "), b)),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
+    def with_pairs(t: Column) -> Column:
+        pairs = F.when(
+            F.size(t) >= 2,
+            F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1),
+                       lambda a, b: F.concat(a, F.lit(" "), b)),
+        ).otherwise(F.array().cast("array<string>"))
+        return F.concat(t, pairs)
+
+    return let(tokens, with_pairs)
 
 
 _WORD = r"\p{L}\p{N}_"
