@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from kudoscope.functions import text as tx
 from kudoscope.functions.labels import DEFAULT_MODEL, EXTERNAL_MODEL
+from kudoscope.operators.vectorise import wide_partitions
 
 # Band limit of a single token, limit and length of the word lists.
 BAND = 0.8
@@ -31,9 +32,9 @@ def explain_tokens(df: DataFrame, coefs: DataFrame, doc: str, text_col: str = "t
     A model has at most VOCABULARY_SIZE terms, which bounds what is broadcast.
 
     Texts are hashed by document before they fan out, so grouping the tokens of a
-    review again (``top_words``) needs no shuffle.
+    review again (``top_words``) needs no shuffle; into as many partitions as their tokens need.
     """
-    tokens = (df.select(doc, text_col).repartition(doc)
+    tokens = (df.select(doc, text_col).repartition(wide_partitions(df), doc)
               .select(doc, F.posexplode(tx.attribution_tokens(F.col(text_col)))
                       .alias("position", "token"))
               .withColumn("term", F.lower("token")))
@@ -46,11 +47,12 @@ def explain_tokens(df: DataFrame, coefs: DataFrame, doc: str, text_col: str = "t
 
 def top_words(tokens: DataFrame, doc: str) -> DataFrame:
     """Per review: five strongest positive words, and of the negative words the five
-    lowest listed least negative first, with absolute scores."""
-    unique = (tokens.filter(F.col("diff").isNotNull())
+    lowest listed least negative first, with absolute scores.
+
+    A word has one ``diff``, so the weak ones go before anything is grouped."""
+    unique = (tokens.filter(F.abs("diff") > LISTED)
               .groupBy(doc, F.lower("token").alias("word"))
               .agg(F.min("position").alias("first_use"), F.max("diff").alias("diff"))
-              .filter(F.abs("diff") > LISTED)
               .withColumn("kind", F.when(F.col("diff") > 0, "positive").otherwise("negative")))
     strength = Window.partitionBy(doc, "kind").orderBy(
         F.abs("diff").desc(),

@@ -28,6 +28,11 @@ SELECT *, concat(words, if(size(words) < 2, array(), zip_with(
 FROM (SELECT *, filter(split({clean}, ' '), w -> length(w) >= 2) AS words FROM __THIS__)"""
 
 
+def wide_partitions(df: DataFrame) -> int:
+    """Partitions for texts that fan out into terms inside them."""
+    return FAN_OUT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def document_terms(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFrame:
     """``(doc, term)`` for every occurrence of a single word or pair.
 
@@ -36,8 +41,7 @@ def document_terms(df: DataFrame, doc: str, clean: str = "clean_text") -> DataFr
     bytes grow by that, so there are ``FAN_OUT`` times the usual partitions, which a number
     of partitions also keeps from being put together again by the size of the texts.
     """
-    partitions = FAN_OUT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(doc, clean).repartition(partitions, doc).select(
+    return df.select(doc, clean).repartition(wide_partitions(df), doc).select(
         doc, F.explode(tx.ngrams(tx.words(F.col(clean)))).alias("term"))
 
 

@@ -23,3 +23,14 @@ def test_cleaning_and_terms_evaluate_each_step_once(spark):
     assert text.count("lower(") == 1 and text.count("<[^>]+>") == 1 and text.count("[^a-z]+") == 1
     terms = plan(df.select(F.explode(tx.ngrams(tx.words(F.col("t"))))))
     assert terms[:terms.index("\n\n") if "\n\n" in terms else None].count("split(t") == 1
+
+
+def test_tokens_fan_out_in_small_partitions_and_weak_words_go_first(spark):
+    coefs = spark.createDataFrame([("positive", "fine", 0.9), ("negative", "fine", 0.0)], "class string, term string, coef double")
+    docs = spark.createDataFrame([(1, "Fine day, fine")], "doc long, text string")
+    tokens = attribution.explain_tokens(docs, coefs, "doc")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {FAN_OUT * usual})" in plan(tokens)
+    text = plan(attribution.top_words(tokens, "doc"))
+    assert "abs(" in text[text.rindex("min(position"):]
+    assert rows(attribution.top_words(tokens, "doc")) == [(1, "positive", 1, "fine", 0.9)]
