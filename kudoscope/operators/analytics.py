@@ -39,17 +39,26 @@ NARRATIVES = {
 
 
 # ------------------------------------------------------------------ shares
-def class_distribution(df: DataFrame, column: str = "sentiment") -> DataFrame:
-    """``(sentiment, count, percentage)`` for all three classes, absent ones 0."""
-    total = df.agg(F.count(column).alias("n"), *labels.class_counts(F.col(column)))
+def class_distribution(df: DataFrame, column: str = "sentiment", rows: str | None = None) -> DataFrame:
+    """``(sentiment, count, percentage)`` for all three classes, absent ones 0.
+
+    ``rows`` names the column with the number of rows that a row stands for, if not one.
+    """
+    if rows is None:
+        total = df.agg(F.count(column).alias("n"), *labels.class_counts(F.col(column)))
+    else:
+        hits = {"n": F.col(column).isNotNull(), **{c: F.col(column) == c for c in LABELS}}
+        total = df.agg(*[F.coalesce(F.sum(F.when(hit, F.col(rows))), F.lit(0).cast("long")).alias(name)
+                         for name, hit in hits.items()])
     return total.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("sentiment"), F.col(c).alias("count"),
                  share_pct(F.col(c), F.col("n")).alias("percentage")) for c in LABELS])))
 
 
-def rating_distribution(df: DataFrame) -> DataFrame:
-    """``(rating, count, percentage)`` ordered by star."""
-    counts = df.filter(F.col("rating").isNotNull()).groupBy("rating").count()
+def rating_distribution(df: DataFrame, rows: str | None = None) -> DataFrame:
+    """``(rating, count, percentage)`` ordered by star; ``rows`` as in ``class_distribution``."""
+    n = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    counts = df.filter(F.col("rating").isNotNull()).groupBy("rating").agg(n.alias("count"))
     total = F.sum("count").over(Window.partitionBy())
     return (counts.withColumn("percentage", share_pct(F.col("count"), total)).orderBy("rating"))
 

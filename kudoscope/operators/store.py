@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kudoscope.functions import labels, text as tx
 from kudoscope.operators import analytics, filters
 from kudoscope.schemas import METRIC, STORED_REVIEW
+from kudoscope.session import materialise
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -102,9 +103,14 @@ def _entries(df: DataFrame, section: str, name: Column, value: Column) -> DataFr
 
 
 def distribution_entries(reviews: DataFrame) -> DataFrame:
-    """Class and rating distribution as ``(section, name, value)`` rows."""
-    classes = analytics.class_distribution(reviews)
-    stars = analytics.rating_distribution(reviews)
+    """Class and rating distribution as ``(section, name, value)`` rows.
+
+    The reviews are passed once: their counts by class and rating are written, and the parts
+    read these few rows.
+    """
+    counted = materialise(reviews.groupBy("sentiment", "rating").agg(F.count(F.lit(1)).alias("rows")), "distribution")
+    classes = analytics.class_distribution(counted, rows="rows")
+    stars = analytics.rating_distribution(counted, rows="rows")
     out = None
     for df, key, section in ((classes, "sentiment", "class"), (stars, "rating", "rating")):
         for what, value in (("count", F.col("count")),

@@ -34,3 +34,23 @@ def test_tokens_fan_out_in_small_partitions_and_weak_words_go_first(spark):
     text = plan(attribution.top_words(tokens, "doc"))
     assert "abs(" in text[text.rindex("min(position"):]
     assert rows(attribution.top_words(tokens, "doc")) == [(1, "positive", 1, "fine", 0.9)]
+
+
+def test_distributions_pass_the_reviews_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    data = [("negative", 1.0), ("negative", 5.0), (None, 5.0), ("positive", None)]
+
+    def read(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    reviews = spark.createDataFrame(data, "sentiment string, rating double").mapInPandas(
+        read, "sentiment string, rating double")
+    got = {(r["section"], r["name"]): r["value"] for r in store.distribution_entries(reviews).collect()}
+    assert seen.value == len(data)
+    assert got == {
+        ("class_count", "negative"): 2.0, ("class_count", "neutral"): 0.0, ("class_count", "positive"): 1.0,
+        ("class_percentage", "negative"): 66.67, ("class_percentage", "neutral"): 0.0,
+        ("class_percentage", "positive"): 33.33, ("rating_count", "1.0"): 1.0, ("rating_count", "5.0"): 2.0,
+        ("rating_percentage", "1.0"): 33.33, ("rating_percentage", "5.0"): 66.67}
