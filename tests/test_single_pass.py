@@ -54,3 +54,15 @@ def test_distributions_pass_the_reviews_once(spark):
         ("class_percentage", "negative"): 66.67, ("class_percentage", "neutral"): 0.0,
         ("class_percentage", "positive"): 33.33, ("rating_count", "1.0"): 1.0, ("rating_count", "5.0"): 2.0,
         ("rating_percentage", "1.0"): 33.33, ("rating_percentage", "5.0"): 66.67}
+
+
+def test_quality_checks_pass_the_reviews_once(spark):
+    data = [("r1", "a b", "positive", 4.0, etl.SOURCE), ("r1", "a b", "bad", 9.0, "x"), (None, None, None, None, None),
+            (None, "", "neutral", 1.0, etl.SOURCE)]
+    df = spark.createDataFrame(data, "review_id string, clean_text string, sentiment string, rating double, source string")
+    got = etl.quality_checks(df)
+    assert plan(got).count("Scan ExistingRDD") == 1
+    assert rows(got, "as is") == [
+        ("non_empty_clean_text", 2), ("label_domain", 2), ("rating_range", 2), ("constant_source", 2),
+        ("unique_clean_text", 1), ("unique_review_id", 2)]
+    assert {n for _, n in rows(etl.quality_checks(df.limit(0)))} == {0}
