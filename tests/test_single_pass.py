@@ -1,11 +1,13 @@
 """Rows are read once and expressions evaluated once, whatever names them several times."""
 
+import numpy as np
+import pytest
 from conftest import one, rows
 from pyspark.sql import functions as F
 
 from kudoscope.functions import text as tx
 from kudoscope.functions.columns import let
-from kudoscope.operators import attribution, etl, store
+from kudoscope.operators import attribution, etl, filters, keyphrases, store
 from kudoscope.operators.vectorise import FAN_OUT
 
 
@@ -66,3 +68,26 @@ def test_quality_checks_pass_the_reviews_once(spark):
         ("non_empty_clean_text", 2), ("label_domain", 2), ("rating_range", 2), ("constant_source", 2),
         ("unique_clean_text", 1), ("unique_review_id", 2)]
     assert {n for _, n in rows(etl.quality_checks(df.limit(0)))} == {0}
+
+
+def test_deep_page_passes_the_rows_few_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(5000).selectExpr("id * 7919 % 5000 AS review_id").mapInPandas(read, "review_id long")
+    got = filters.deep_page(df, 3210, 5, enough=10)
+    assert rows(got, "as is") == [(i,) for i in range(3210, 3215)]
+    assert seen.value == 3 * 5000  # draw, count, write the range
+
+
+@pytest.mark.parametrize("pool", [1, 2, 7])
+def test_pool_decides_on_time_only(spark, pool):
+    rng = np.random.default_rng(5)
+    data = [(g, i, [float(x) for x in rng.normal(size=6) + 0.5]) for g, n in (("a", 60), ("b", 4)) for i in range(n)]
+    near = keyphrases.similarity_to_centre(spark.createDataFrame(data, "g string, id int, v array<double>"), "g", "v", 6)
+    want = rows(keyphrases.mmr_select(near, "g", "id", "v", 5, 0.7, pool=60))
+    assert len(want) == 9 and rows(keyphrases.mmr_select(near, "g", "id", "v", 5, 0.7, pool=pool)) == want
