@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kudoscope.functions import labels, text as tx
 from kudoscope.functions.rules import with_intelligence
 from kudoscope.operators.ranking import draw_hash, top_per_group
+from kudoscope.session import materialise
 
 ALL = "All"
 # Keys at which a turn of ``deep_page`` cuts a range.
@@ -122,7 +123,8 @@ def deep_page(df: DataFrame, skip: int = 0, limit: int = 100, order: str = "revi
     cuts exactly, and goes on with the parts that the page touches, until they hold at most
     ``enough`` rows beside the page. Which keys are drawn changes the number of turns only. A turn
     hands the driver ``CUTS`` keys and as many counts, the last one at most ``enough`` rows and the
-    page, if keys are unique; rows of equal keys stay together, as in ``paginate``. Null keys come
+    page, if keys are unique. Parts that hold less than half of the rows are written, so that the
+    turns after the first do not pass over ``df`` again; rows of equal keys stay together, as in ``paginate``. Null keys come
     first; a page beyond the last row is empty.
     """
     key, rows, before = F.col(order), df, 0
@@ -149,8 +151,11 @@ def deep_page(df: DataFrame, skip: int = 0, limit: int = 100, order: str = "revi
         if high + 1 < len(cuts):
             ahead = key < F.lit(cuts[high + 1])
             rows = rows.filter(ahead if low >= 0 else ahead | key.isNull())
-        if sum(n for *_, n in touched) <= limit + enough or len(touched) == len(counts):
+        held = sum(n for *_, n in touched)
+        if held <= limit + enough or len(touched) == len(counts):
             return rows.orderBy(order).offset(skip - before).limit(limit)
+        if 2 * held < sum(n for _, n in counts):
+            rows = materialise(rows, "page-range")
 
 
 def sample_cap(df: DataFrame, unique: str, cap: int, seed: int = 42) -> DataFrame:
