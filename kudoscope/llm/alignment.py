@@ -39,8 +39,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 TOGETHER = 200          # segments encoded in one go
-REMEMBERED = 400_000    # segments a worker remembers
-_SLICE = 2_000_000      # bytes of text worked on at a time
+REMEMBERED = 250_000    # segments a worker remembers
+_SLICE = 500_000        # bytes of text worked on at a time
 _SPACE = "▁"
 _CUT, _RUN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
@@ -96,14 +96,14 @@ class Aligner:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.n_a, self.n_b = array("q"), array("q")     # -1 where the tokens don't give back the bytes
-        self.groups: list[str] = []
+        self.n_a, self.n_b = array("i"), array("i")     # -1 where the tokens don't give back the bytes
+        self.groups, self.fresh = pa.array([], pa.large_string()), []   # fresh: those not yet in the Arrow array
         self.linked, self.until = array("i"), array("q", [0])
         self.used = np.zeros(0, dtype=np.int64)
 
     def forget_rare(self) -> None:
         """Keep the segments that were used most, half of those there is room for."""
-        names, groups = list(self.number), self.groups
+        names, groups = list(self.number), self.packed_groups()
         n_a, n_b, until = (np.array(x) for x in (self.n_a, self.n_b, self.until))
         linked = np.array(self.linked, dtype=np.int32)
         kept = np.argsort(-self.used, kind="stable")[:REMEMBERED // 2]
@@ -112,9 +112,16 @@ class Aligner:
         total = np.concatenate([[0], np.cumsum(longs)])
         self.linked = array("i", linked[np.repeat(until[kept] - total[:-1], longs) + np.arange(total[-1])].tobytes())
         self.until = array("q", total.tobytes())
-        self.n_a, self.n_b = array("q", n_a[kept].tobytes()), array("q", n_b[kept].tobytes())
+        self.n_a, self.n_b = array("i", n_a[kept].tobytes()), array("i", n_b[kept].tobytes())
         self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
-        self.groups = [groups[k] for k in kept.tolist()]
+        self.groups = groups.take(pa.array(kept))
+
+    def packed_groups(self) -> pa.LargeStringArray:
+        """The groups of all remembered segments; an Arrow array, as strings of Python take several times the memory."""
+        if self.fresh:
+            self.groups = pa.concat_arrays([self.groups, pa.array(self.fresh, pa.large_string())])
+            self.fresh = []
+        return self.groups
 
     def segments(self, text: str) -> list[str]:
         if not self.by_word:
@@ -178,9 +185,9 @@ class Aligner:
         """``pairs`` of all segments, those of each up to its number in ``upto``."""
         first, links = len(self.n_a), self.until[-1]
         self.number.update(zip(segments, range(first, first + len(segments))))
-        self.n_a.frombytes(np.asarray(n_a, dtype=np.int64).tobytes())
-        self.n_b.frombytes(np.asarray(n_b, dtype=np.int64).tobytes())
-        self.groups += groups
+        self.n_a.frombytes(np.asarray(n_a, dtype=np.int32).tobytes())
+        self.n_b.frombytes(np.asarray(n_b, dtype=np.int32).tobytes())
+        self.fresh += groups
         self.linked.frombytes(np.asarray(pairs, dtype=np.int32).tobytes())
         self.until.frombytes((np.asarray(upto, dtype=np.int64) + links).tobytes())
 
@@ -206,7 +213,8 @@ class Aligner:
                 numbers[k] = self.number[flat[k]]
         codes, size = np.array(numbers, dtype=np.int64), np.array([len(c) for c in cut])
         upto = np.concatenate([[0], np.cumsum(size)])
-        uses = np.bincount(codes, minlength=len(self.groups))
+        groups = self.packed_groups()
+        uses = np.bincount(codes, minlength=len(groups))
         uses[:len(self.used)] += self.used
         self.used = uses
 
@@ -214,7 +222,7 @@ class Aligner:
             running = np.concatenate([[0], np.cumsum(values)])
             return running[upto[1:]] - running[upto[:-1]]
 
-        n_a, n_b, until = (np.array(x, dtype=np.int64) for x in (self.n_a, self.n_b, self.until))
+        n_a, n_b, until = (np.array(x) for x in (self.n_a, self.n_b, self.until))
         fine = sums(n_a[codes] < 0) == 0
         codes = codes[np.repeat(fine, size)]
         upto = np.concatenate([[0], np.cumsum(np.where(fine, size, 0))])
@@ -222,9 +230,9 @@ class Aligner:
         total = np.concatenate([[0], np.cumsum(longs)])
         places = np.repeat(until[codes] - total[:-1], longs) + np.arange(total[-1])
         links = np.array(self.linked, dtype=np.int32)[places]
-        said = list(map(self.groups.__getitem__, numbers if fine.all() else codes.tolist()))
-        joined = [";".join(said[i:j]) for i, j in zip(upto[:-1].tolist(), upto[1:].tolist())]
-        return [pa.array(sums(n_a[codes])), pa.array(sums(n_b[codes])), pa.array(joined, pa.string()),
+        said = groups.take(pa.array(codes)).cast(pa.string())
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), said), ";")
+        return [pa.array(sums(n_a[codes])), pa.array(sums(n_b[codes])), joined,
                 pa.ListArray.from_arrays(pa.array(total[upto].astype(np.int32)), pa.array(links))]
 
 
@@ -306,6 +314,7 @@ def link_scores(aligned: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     at = aligned.columns.index("links")
 
     def scored(batches):
+        _aligner.cache_clear()      # what this worker remembers of segments is of no more use
         count, best = shared.value
         for batch in batches:
             for row in range(0, batch.num_rows, 256):

@@ -1,6 +1,7 @@
 """Alignment against whole texts encoded at once and byte offsets taken from token bytes alone."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -98,6 +99,17 @@ def test_forgetting_changes_nothing(tokenizers, monkeypatch):
     assert again == want
 
 
+def test_remembered_segments_are_small(tokenizers):
+    """Two workers of an executor remember hundreds of thousands of segments each."""
+    fresh = alignment.Aligner(tokenizers.byte_bpe, tokenizers.pieces)
+    text = " ".join(f"{i * 7919 % 100003}-word{i}" for i in range(10_000))
+    tracemalloc.start()
+    fresh.documents([text])
+    held = tracemalloc.get_traced_memory()[0] + fresh.packed_groups().nbytes
+    tracemalloc.stop()
+    assert len(fresh.number) == 10_000 and held < 500 * 10_000
+
+
 def test_whole_texts_where_words_are_not_apart(tokenizers):
     """A tokenizer that may join across spaces gets whole texts, with the same result here."""
     fresh = alignment.Aligner(tokenizers.byte_bpe, tokenizers.pieces)
