@@ -112,9 +112,13 @@ def _key_table(prints: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``a < b`` of the distinct fingerprints ``fp`` that differ in few bits, complete."""
-    table = _key_table(prints).dropDuplicates()
-    table = materialise(table, "simhash-keys")
+    """Pairs ``a < b`` of the fingerprints ``fp`` that differ in few bits, complete.
+
+    A fingerprint's keys differ, so keys of distinct fingerprints need no shuffle of their
+    own: the narrow fingerprints are dealt to the tasks, which write some seventy rows for each.
+    """
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))   # a number, as AQE goes by bytes before the keys
+    table = materialise(_key_table(prints.select("fp").repartition(tasks, "fp").distinct()), "simhash-keys")
     filed = table.filter("filed").select("key", F.col("fp").alias("a"))
     sought = table.filter("not filed").select("key", F.col("fp").alias("b"))
     return (filed.join(sought, "key")
@@ -181,15 +185,18 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that repeat one stays, and so does one of several texts under that id. Null,
     empty and blank texts are alike, so one of them stays. Rows that go are named by a
-    narrow table, and texts move only to meet it. Columns may bear any names.
+    narrow table, and texts move only to meet it, once: rows that repeat meet under the same
+    column, a struct, in which nulls are equal. Columns may bear any names.
     """
     found = near_duplicates(docs, **options)
     chosen = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy("component_id", F.col("doc_id").alias("id")).agg(F.min("text_key").alias("key")))
-    chosen = materialise(chosen.select("id", "key"), "simhash-kept")
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", common.text_key(F.col("text")).alias("text_key"))
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_key"]).select("row.*")
+              .groupBy("component_id", "doc_id").agg(F.min("text_key").alias("key")))
+    # a key is never null, which a written table no longer says: the two structs are then of one type
+    chosen = materialise(chosen.select("doc_id", "key"), "simhash-kept").select(
+        F.struct("doc_id", F.coalesce("key", F.lit(0)).alias("text_key")).alias("at"))
+    rows = docs.select(F.struct("*").alias("row"),
+                       F.struct("doc_id", common.text_key(F.col("text")).alias("text_key")).alias("at"))
+    return rows.join(chosen, "at", "left_semi").dropDuplicates(["at"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,32 @@ def test_one_of_a_group_stays(spark, odd):
     # null, empty and blank texts are one group; so are the long copies and the repeated rows
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 4, 6, 7, 8]
     assert rows(kept.filter("doc_id is null").select("doc_id")) == [(None,)]
+
+
+def shuffles(frame, plan):
+    """Shuffles in the plan of ``frame`` as it ran."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].count(plan)
+
+
+def test_texts_are_shuffled_once(spark, odd):
+    """Texts move to meet the ids that stay, and no second time to find rows that repeat."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one(odd)
+        assert shuffles(kept, "Exchange hashpartitioning") == 2     # the texts and the ids that stay
+        assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 4, 6, 7, 8]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keys_are_not_shuffled_to_be_told_apart(spark, monkeypatch):
+    """Keys of one fingerprint differ; a fingerprint named twice makes its keys once."""
+    written = {}
+    monkeypatch.setattr(simhash, "materialise", lambda frame, name: written.setdefault(name, frame))
+    simhash.links(spark.createDataFrame([(7,), (7,), (-1,), (1 << 62,)], "fp long"))
+    keys = written["simhash-keys"]
+    found = keys.collect()
+    assert len(found) == len(set(found)) and {r.fp for r in found} == {7, -1, 1 << 62}
+    assert "key#" not in "".join(line for line in keys._jdf.queryExecution().executedPlan().toString().splitlines()
+                                 if "Exchange" in line)
