@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kudoscope.functions.labels import DEFAULT_MODEL, MODELS
 from kudoscope.operators import analytics, etl, models, splitting
-from kudoscope.operators.vectorise import fit_vectoriser
+from kudoscope.operators.vectorise import fit_transform
 from kudoscope.schemas import LABELS, RAW_REVIEW
 from kudoscope.session import materialise
 from kudoscope.sources import readers
@@ -47,11 +47,8 @@ def prepare_training(df: DataFrame, order: str = "row_order") -> DataFrame:
 
 
 def featurise(split: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    """Vectoriser fitted on the training rows, and their features as a written table."""
-    train_rows = split.filter("NOT is_test")
-    vectoriser = fit_vectoriser(train_rows, "review_id")
-    featured = vectoriser.transform(train_rows).select("sentiment", "features")
-    return vectoriser, materialise(featured, "features")
+    """Vectoriser fitted on the training rows, and their features from a written table."""
+    return fit_transform(split.filter("NOT is_test"), "review_id", "sentiment")
 
 
 def fit(name: str, featured: DataFrame) -> PipelineModel:

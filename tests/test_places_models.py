@@ -343,3 +343,31 @@ def test_texts_fan_out_in_small_partitions(spark):
     assert "hashpartitioning(review_id#" in (plan := terms._jdf.queryExecution().executedPlan().toString())
     assert f", {vectorise.FAN_OUT * usual}), REPARTITION_BY_NUM" in plan
     assert terms.count() == 50 * 5
+
+
+def _texts(spark, n: int = 300):
+    """Few frequent words, many rare ones, and a word that only one long text repeats."""
+    draw = np.random.default_rng(3)
+    lines = [" ".join([f"w{chr(97 + int(i) % 26)}{chr(97 + int(i) // 26 % 26)}" for i in draw.zipf(1.4, 30)]) for _ in range(n)]
+    lines[7] += " burst" * 500
+    return spark.createDataFrame(list(enumerate([*lines, "", None, "x"])), "review_id int, clean_text string")
+
+
+@pytest.mark.parametrize("sample_rows, groups", [(10_000, 1 << 20), (40, 1 << 20), (40, 8), (1, 64)])
+def test_frequent_terms_whatever_the_sample(spark, sample_rows, groups):
+    df = _texts(spark)
+    for size in (5, 60, 100_000):
+        wanted = [r["term"] for r in vectorise.vocabulary(vectorise.term_totals(df), size)
+                  .orderBy(F.col("total").desc(), "term").collect()]
+        assert vectorise.frequent_terms(df, size=size, sample_rows=sample_rows, groups=groups) == wanted
+
+
+def test_vocabulary_is_counted_under_a_bounded_number_of_keys(spark, monkeypatch):
+    """Whatever the number of distinct terms, the pass over all rows holds no more keys than asked."""
+    held = []
+    keep = vectorise.materialise
+    monkeypatch.setattr(vectorise, "materialise", lambda df, name: held.append(df.count()) or keep(df, name))
+    df = _texts(spark)
+    assert vectorise.term_totals(df).count() > 3 * 5 + 8
+    vectorise.frequent_terms(df, size=5, sample_rows=40, groups=8)
+    assert held and max(held) <= 3 * 5 + 8
