@@ -112,7 +112,8 @@ def frequent_terms(df: DataFrame, clean: str = "clean_text", size: int = VOCABUL
     full = counted.filter((F.col("key") >= len(picked)) & (F.col("total") >= least)).select("key")
     if not full.isEmpty():
         rest = occurrences(texts, clean).join(known.select("term"), "term", "left_anti")
-        rest = rest.withColumn("key", group).join(full, "key", "left_semi")
+        # at most a key per group, so it may be broadcast: terms of other groups are not shuffled
+        rest = rest.withColumn("key", group).join(F.broadcast(full), "key", "left_semi")
         found += [(-r["total"], r["term"]) for r in first(rest, size)]
     discard(counted)
     return [term for _, term in sorted(found)[:size]]
@@ -121,12 +122,15 @@ def frequent_terms(df: DataFrame, clean: str = "clean_text", size: int = VOCABUL
 def tfidf_table(df: DataFrame, doc: str, clean: str = "clean_text",
                 size: int = VOCABULARY_SIZE) -> DataFrame:
     """``(doc, term, tf, tfidf)`` with smoothed idf and unit length per document; ``doc`` is unique."""
-    documents = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    held = materialise(df.select(doc, clean), "texts")
+    documents = held.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((documents + 1) / (F.col("df") + 1)) + 1
     # the vocabulary is limited to `size` rows, so it may be broadcast; joined before
     # counting it drops most pairs, which occur too rarely to be in it
-    known = F.broadcast(vocabulary(term_totals(df, clean), size).select("term", "df"))
-    weighted = (document_terms(df, doc, clean).join(known, "term").groupBy(doc, "term")
+    terms = df.sparkSession.createDataFrame([(t,) for t in frequent_terms(held, clean, size)], "term string")
+    once = held.select(F.explode(F.array_distinct(tx.ngrams(tx.words(F.col(clean))))).alias("term"))
+    known = F.broadcast(once.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    weighted = (document_terms(held, doc, clean).join(known, "term").groupBy(doc, "term")
                 .agg(F.count(F.lit(1)).alias("tf"), F.max("df").alias("df"))
                 .withColumn("weight", F.col("tf") * idf))
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc)))
