@@ -52,14 +52,9 @@ def featurise(split: DataFrame) -> tuple[PipelineModel, DataFrame]:
 
 
 def fit(name: str, featured: DataFrame) -> PipelineModel:
-    """Fit one model; its iterations pass over the features many times, so they are kept.
-    The machines keep them in blocks of their own."""
-    if name == "linearsvc":
-        return models.fit_classifier(name, featured)
-    kept = featured.persist()
-    model = models.fit_classifier(name, kept)
-    kept.unpersist()
-    return model
+    """Fit one model. Its iterations pass over the features many times, and every fit keeps
+    them in blocks of its own: kept here too, they would be in memory twice."""
+    return models.fit_classifier(name, featured)
 
 
 def train(split: DataFrame, names: tuple[str, ...] = MODELS) -> models.Artifacts:

@@ -371,3 +371,9 @@ def test_vocabulary_is_counted_under_a_bounded_number_of_keys(spark, monkeypatch
     assert vectorise.term_totals(df).count() > 3 * 5 + 8
     vectorise.frequent_terms(df, size=5, sample_rows=40, groups=8)
     assert held and max(held) <= 3 * 5 + 8
+
+
+def test_a_fit_does_not_keep_the_features_twice(split, monkeypatch):
+    _, featured = pipelines.featurise(split)
+    monkeypatch.setattr(type(featured), "persist", lambda *a: pytest.fail("kept beside the blocks of the fit"))
+    assert pipelines.fit("balanced_logistic_regression", featured).stages
