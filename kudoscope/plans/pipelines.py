@@ -90,3 +90,18 @@ def analyse_places(payloads: DataFrame, scorer: models.Artifacts | Callable[[Dat
         F.max("name").alias("name"), F.max("address").alias("address"), F.max("rating").alias("overall_rating"),
         F.max("user_rating_count").alias("user_rating_count"), F.max("maps_uri").alias("maps_uri"))
     return scored, known.join(analytics.place_pulse(scored), "place_id", "left").na.fill(0, PULSE)
+
+
+def place_reports(scored: DataFrame, places: DataFrame) -> DataFrame:
+    """Both results of ``analyse_places`` as one: every review beside its place and the pulse of that.
+
+    A place without reviews is one row without a review. Reviews of payloads without an id stay,
+    and have no pulse, as they are of no one place.
+    """
+    pulse = places.withColumns({c: F.when(F.col("place_id").isNotNull(), F.col(c)) for c in PULSE})
+    pulse = pulse.withColumnRenamed("place_id", "_place")
+    # reviews on the outer side, where a place with very many of them can be split
+    beside = scored.join(pulse, F.col("place_id").eqNullSafe(F.col("_place")), "left").drop("_place")
+    seen = scored.select(F.col("place_id").alias("_seen")).distinct()
+    bare = pulse.join(seen, F.col("_place").eqNullSafe(F.col("_seen")), "left_anti").withColumnRenamed("_place", "place_id")
+    return beside.unionByName(bare, allowMissingColumns=True)

@@ -840,8 +840,11 @@ def external_scorer_fallback(spark, sf):
 
 @query
 def place_analysis(spark, sf):
-    return pipelines.analyse_places(ad.place_payloads(spark, sf),
-                                    _artifacts(spark, sf, labels.DEFAULT_MODEL))[0]
+    """Scored reviews, each beside its place and the pulse of that."""
+    artifacts = _artifacts(spark, sf, labels.DEFAULT_MODEL)
+    scored, places = pipelines.analyse_places(
+        ad.place_payloads(spark, sf), lambda r: materialise(models.score(r, artifacts), "scored-places"))
+    return pipelines.place_reports(scored, places)
 
 
 # The same with stored models, whose coefficients SQL can compute too.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kudoscope.functions.labels import MODELS
 from kudoscope.operators import analytics, attribution, keyphrases, models, vectorise
-from kudoscope.plans import pipelines
+from kudoscope.plans import pipelines, queries
 from kudoscope.schemas import LABELS
 from kudoscope.sources import readers, sinks
 
@@ -242,6 +242,22 @@ def test_place_pipeline(spark, artifacts):
     assert empty.first()["positive_pct"] == 0.0
 
 
+def test_place_analysis_carries_the_pulse(spark, artifacts, monkeypatch):
+    bodies = [json.dumps(PAYLOAD), json.dumps({"id": "p2"}), json.dumps({**PAYLOAD, "id": None})]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    monkeypatch.setattr(queries.ad, "place_payloads", lambda *_: df)
+    monkeypatch.setattr(queries, "_artifacts", lambda *_: artifacts)
+    got = queries.place_analysis(spark, None)
+    assert [c for c in got.columns if got.columns.count(c) > 1] == []
+    assert {(r["place_id"], r["author_name"], r["sentiment"], r["overall_rating"], r["total_reviews"],
+             r["positive_count"], r["negative_pct"], r["mismatch_pct"]) for r in got.collect()} == {
+        ("p1", "Ann", "positive", 4.5, 2, 1, 50.0, 100.0),
+        ("p1", "Anonymous Google Reviewer", "negative", 4.5, 2, 1, 50.0, 100.0),
+        ("p2", None, None, None, 0, 0, 0.0, 0.0),
+        (None, "Ann", "positive", 4.5, None, None, None, None),
+        (None, "Anonymous Google Reviewer", "negative", 4.5, None, None, None, None)}
+
+
 def test_search_and_status(spark):
     body = json.dumps({"places": [{"id": f"x{i}", "displayName": {"text": f"n{i}"}} for i in range(12)]
                        + [{"id": "z"}]})
