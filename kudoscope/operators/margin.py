@@ -22,9 +22,9 @@ from kudoscope.schemas import LABELS
 
 TOLERANCE = 1e-6    # of the largest component of the gradient of the mean loss
 _BLOCK = 1024       # rows held as one block
-_SAMPLE = 1500      # rows that shape the steps, about
+_SAMPLE = 2500      # rows that shape the steps, about
 _SLAB = 1000        # terms of the sample that are dense at a time
-_REST = 0.02        # share of the curvature along a term that the sample is taken to miss
+_REST = 0.1         # share of the curvature along a term that the sample is taken to miss
 
 # Labels, entries per row, and term and value of every entry; the last term of a row is always 1.
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -81,6 +81,14 @@ def _sums(blocks: Iterator[Block], w: np.ndarray, p: np.ndarray | None) -> Itera
     yield np.append(losses, out)
 
 
+def _squares(blocks: Iterator[Block], width: int) -> Iterator[np.ndarray]:
+    """Sum of the squared values of every term over some blocks."""
+    out = np.zeros(width)
+    for _, _, terms, values in blocks:
+        out += np.bincount(terms.astype(np.intp), values * values, minlength=width)
+    yield out
+
+
 def _drawn(at: int, blocks: Iterator[Block], share: float) -> Iterator[Block]:
     """About ``share`` of the rows, the same ones whenever the blocks are the same."""
     draw = np.random.default_rng(at)
@@ -91,16 +99,17 @@ def _drawn(at: int, blocks: Iterator[Block], share: float) -> Iterator[Block]:
             yield label[take], sizes[take], terms[entries], values[entries]
 
 
-def _shaper(sample: list[Block], n: int, width: int) -> Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+def _shaper(sample: list[Block], n: int, squares: np.ndarray) -> Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
     """For coefficients, the inverse of the curvature there as the sample shows it.
 
     The curvature is a diagonal plus that of the sample's rows that fall short, scaled up
-    to all rows; its inverse needs a matrix of sample times sample only.
+    to all rows; its inverse needs a matrix of sample times sample only. The diagonal comes
+    from the ``squares`` of the terms over all rows, as most samples miss most rare terms.
     """
     label, sizes, terms, values = (np.concatenate(part) for part in zip(*sample))
-    rows, m = (sizes, terms.astype(np.intp), values), len(label)
+    rows, m, width = (sizes, terms.astype(np.intp), values), len(label), len(squares)
     scale = 2 * n / m
-    diagonal = 1 + _REST * scale * np.bincount(rows[1], values * values, minlength=width)
+    diagonal = 1 + 2 * _REST * squares
     row, common = np.repeat(np.arange(m), sizes), np.zeros((m, m))
     for start in range(0, width, _SLAB):
         here = (rows[1] >= start) & (rows[1] < start + _SLAB)
@@ -200,7 +209,8 @@ def fit(train: DataFrame, max_passes: int, tolerance: float = TOLERANCE) -> list
     if n:
         share = _SAMPLE / n
         sample = blocks.mapPartitionsWithIndex(lambda i, b: _drawn(i, b, share)).collect()
-        shaper = _shaper(sample, n, width) if sample else lambda at: lambda r: r
+        squares = blocks.mapPartitions(lambda b: _squares(b, width)).treeReduce(np.add)
+        shaper = _shaper(sample, n, squares) if sample else lambda at: lambda r: r
         w = minimise(evaluate, curve, shaper, w, tolerance, max_passes)
     blocks.unpersist()
     java = context._jvm.org.apache.spark.ml.classification.LinearSVCModel

@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from kudoscope.functions.labels import MODELS
-from kudoscope.operators import analytics, attribution, keyphrases, models, vectorise
+from kudoscope.operators import analytics, attribution, keyphrases, margin, models, vectorise
 from kudoscope.plans import pipelines, queries
 from kudoscope.schemas import LABELS
 from kudoscope.sources import readers, sinks
@@ -393,3 +393,10 @@ def test_a_fit_does_not_keep_the_features_twice(split, monkeypatch):
     _, featured = pipelines.featurise(split)
     monkeypatch.setattr(type(featured), "persist", lambda *a: pytest.fail("kept beside the blocks of the fit"))
     assert pipelines.fit("balanced_logistic_regression", featured).stages
+
+
+def test_margin_steps_know_terms_that_the_sample_missed():
+    sample = [(np.array([0, 1], dtype="int8"), np.array([2, 2]), np.array([0, 3, 1, 3]), np.array([1.0, 1.0, 1.0, 1.0]))]
+    solve = margin._shaper(sample, 10, np.array([5.0, 5.0, 50.0, 10.0]))(np.zeros((3, 4)))
+    got = solve(np.array([[0.0, 0.0, 1.0, 0.0]] * 3))
+    assert np.allclose(got[:, 2], 1 / (1 + 2 * margin._REST * 50)) and np.allclose(got[:, [0, 1, 3]], 0)
